@@ -156,3 +156,39 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+
+# --------------------------------------------------------------------------- native building blocks
+def let(value, body):
+    """Evaluates ``value`` once and gives it to ``body``, inside one expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def ascii_lower(col):
+    """A string equal for two inputs exactly if they differ in the case of A-Z alone.
+
+    Each UTF-8 byte becomes one Latin-1 character and lower() runs on that. It also turns the first
+    byte of two-byte characters into one of longer characters, but how many following bytes there
+    are still tells them apart, so nothing else becomes equal.
+    """
+    return F.lower(F.decode(F.encode(col, "UTF-8"), "ISO-8859-1"))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join in which no key of ``left`` gathers in one task.
+
+    ``right`` has one row per key, and ``weight`` says how many rows of ``left`` have it, of
+    ``total`` altogether. Keys with a share over 1/parts number fewer than ``parts``: they are
+    broadcast under that bound. The rest is shuffled.
+    """
+    at = max(1000, total // parts)
+    heavy = F.broadcast(right.filter(F.col(weight) > at))
+    light = right.filter(F.col(weight) <= at)
+    rest = left.join(heavy.select(*keys), keys, "left_anti")
+    return left.join(heavy, keys).unionByName(rest.join(light, keys))
