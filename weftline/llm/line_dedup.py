@@ -109,10 +109,13 @@ class LineRuns:
             level += 1
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """Merges sorted runs pairwise. No union: a grouping above it would trust the buckets too far."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+            other = self.spark.table(name).select(*HASH, F.col("n_docs").alias("n"), F.col("max_doc").alias("m"))
+            n_docs = F.coalesce(F.col("n_docs"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))
+            rows = rows.join(other.hint("merge"), HASH, "full").select(*HASH, n_docs.alias("n_docs"), F.greatest("max_doc", "m").alias("max_doc"))
+        return rows
 
     def totals(self) -> DataFrame:
         """One row per line hash over all batches."""
