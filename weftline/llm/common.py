@@ -192,3 +192,11 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     light = right.filter(F.col(weight) <= at)
     rest = left.join(heavy.select(*keys), keys, "left_anti")
     return left.join(heavy, keys).unionByName(rest.join(light, keys))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that have been materialised."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

@@ -17,3 +17,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+OP2 = """
+WITH w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+') IF x <> ''] AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 49)) AS s, ws FROM w),
+windows AS (SELECT doc_id, s, sha256(array_to_string(ws[s:s + 49], ' ')) AS h FROM starts),
+owners AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 49)) AS p FROM windows JOIN owners USING (h) WHERE first < doc_id),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT words.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY words.p) AS t FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, oracles, quality_rules, sharding
+from . import line_dedup, oracles, quality_rules, sharding, substring_dedup
 from .common import workspace
 
 
@@ -16,6 +16,10 @@ def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), texts=False).drop("kept", "spans")
+
+
 def op4_levelled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -26,10 +30,12 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
+    "op2_seed_and_extend": op2_seed_and_extend,
     "op4_levelled_runs": op4_levelled_runs,
     "op7_virtual_slots": op7_virtual_slots,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_seed_and_extend": oracles.OP2,
     "op4_levelled_runs": oracles.OP4,
 }
