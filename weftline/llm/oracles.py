@@ -31,3 +31,19 @@ kept AS (SELECT words.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY words.p)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
+
+OP3 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+') IF x <> ''] AS ws
+  FROM documents),
+shingles AS (
+  SELECT doc_id, hash(array_to_string(ws[s:s + 3], ' ')) AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, least(len(ws), 1)))) AS s FROM w)),
+sets AS (SELECT DISTINCT doc_id, g FROM shingles),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+sides AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(d, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT d, y FROM reach JOIN sides ON x = r),
+comp AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+SELECT d AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d = c AS kept FROM comp LEFT JOIN sizes ON doc_id = d
+"""

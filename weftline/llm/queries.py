@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, oracles, quality_rules, sharding, substring_dedup
+from . import line_dedup, near_dedup, oracles, quality_rules, sharding, substring_dedup
 from .common import workspace
 
 
@@ -20,6 +20,10 @@ def op2_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), texts=False).drop("kept", "spans")
 
 
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("tk")
+
+
 def op4_levelled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -31,11 +35,13 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
     "op2_seed_and_extend": op2_seed_and_extend,
+    "op3_tensored_minhash": op3_tensored_minhash,
     "op4_levelled_runs": op4_levelled_runs,
     "op7_virtual_slots": op7_virtual_slots,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_tensored_minhash": oracles.OP3,
     "op2_seed_and_extend": oracles.OP2,
     "op4_levelled_runs": oracles.OP4,
 }
