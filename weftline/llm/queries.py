@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, oracles, quality_rules, sharding, substring_dedup
+from . import line_dedup, near_dedup, oracles, quality_rules, sharding, substring_dedup, token_tables
 from .common import workspace
 
 
@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,12 +38,17 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), workspace(spark, "op7"))
 
 
+def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables.tokenize_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
+
+
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
     "op2_seed_and_extend": op2_seed_and_extend,
     "op3_tensored_minhash": op3_tensored_minhash,
     "op4_levelled_runs": op4_levelled_runs,
     "op7_virtual_slots": op7_virtual_slots,
+    "op9_token_tables": op9_token_tables,
 }
 
 ORACLES: dict[str, str] = {
