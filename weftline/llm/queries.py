@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, token_tables
+from . import decontaminate, line_dedup, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, token_tables
 from .common import workspace
 
 
@@ -34,6 +34,10 @@ def op4_levelled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_seed_and_extend": op2_seed_and_extend,
     "op3_tensored_minhash": op3_tensored_minhash,
     "op4_levelled_runs": op4_levelled_runs,
+    "op5_template_windows": op5_template_windows,
     "op6_subword_embeddings": op6_subword_embeddings,
     "op7_virtual_slots": op7_virtual_slots,
     "op9_token_tables": op9_token_tables,
