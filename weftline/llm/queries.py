@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, token_tables
+from . import decontaminate, line_dedup, mixing, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, token_tables
 from .common import workspace
 
 
@@ -46,6 +46,10 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), workspace(spark, "op7"))
 
 
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.tokenize_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_template_windows": op5_template_windows,
     "op6_subword_embeddings": op6_subword_embeddings,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_raked_mixture": op8_raked_mixture,
     "op9_token_tables": op9_token_tables,
 }
 
