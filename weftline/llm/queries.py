@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, token_tables
+from . import decontaminate, line_dedup, mixing, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, surrogates, token_tables
 from .common import workspace
 
 
@@ -54,6 +54,10 @@ def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables.tokenize_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
     "op2_seed_and_extend": op2_seed_and_extend,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_virtual_slots": op7_virtual_slots,
     "op8_raked_mixture": op8_raked_mixture,
     "op9_token_tables": op9_token_tables,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLES: dict[str, str] = {
