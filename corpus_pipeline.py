@@ -1,16 +1,65 @@
-"""From documents to token files: the stages of a corpus run."""
+"""From documents to token files: the stages of a corpus run.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
+last return the columns of documents; the last returns a row per document of the token tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, mixing, near_dedup, quality_rules, token_tables
+from weftline.llm.common import keep_rows, materialise, release, workspace
+from weftline.llm.queries import table, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays (five-word shingles, similarity 0.8)."""
+    found = near_dedup.near_duplicates(docs)
+    return keep_rows(docs, found.filter(~F.col("kept")), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item go."""
+    return keep_rows(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics have the target shares of tokens."""
+    return keep_rows(docs, mixing.mixed(docs).filter("kept"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token tables of what is left; a row per document, read back from them."""
+    return token_tables.tokenize_documents(docs, tokenizer_path())
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token_output", token_output),
+]
 
-#: The stages train thresholds, hash and tokenize: SQL can't express them.
+#: Thresholds from binomial tails, MinHash components and tokenizer ids are not for SQL; tests/llm
+#: compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written as Parquet and read as the next one's docs."""
+    docs = table(spark, sf_dir, "documents")
+    path = workspace(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"{path}/{name}")
+        release(spark)
+    return docs

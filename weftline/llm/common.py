@@ -200,3 +200,15 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, tk) is in ``decided`` (left_semi) or not in it (left_anti).
+
+    Whatever the columns of ``docs`` are called, they come back as they were; null doc_ids match.
+    """
+    named = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    keys = decided.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"))
+    same = rows[named["doc_id"]].cast("long").eqNullSafe(keys["__id"]) & (text_key(rows[named["text"]]) == keys["__tk"])
+    return rows.join(keys, same, how).select(*[F.col(n).alias(c) for c, n in named.items()])

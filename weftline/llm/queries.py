@@ -47,7 +47,7 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("tk")
 
 
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
