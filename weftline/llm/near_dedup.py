@@ -7,10 +7,11 @@ with chance (1 - (1 - s**ROWS)**M)**2; at 0.8 and the defaults that is 0.9999.
 The keys are never formed for all documents: a document can share (u_i, v_j) with another only if it
 shares u_i and shares v_j, so single hashes are counted first, and only shared ones are combined.
 
-No pairs within a group are listed. Texts with equal shingle sets are one node. In each round every
+Texts with equal shingle sets are one node. No pairs within a group are listed: in each round every
 group names one center, and its members in other components are compared with it on their full
-sets; links join components. What is still apart after the rounds is compared pair by pair across
-components, so that no link between two groups of the same key is missed.
+sets; links join components. What is still apart after the rounds is grouped anew by rare shingles,
+exactly (see prefix_keys), and compared with centers and then across components, so that no link
+between two texts of one table key is missed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _constants, arrow_batch, gram_hasher, join_split, materialise, mix, release, signed, text_chunks, text_key, workspace
@@ -28,7 +29,7 @@ SHINGLE = 5
 PERCENT = 80
 M = 14
 ROWS = 3
-ROUNDS = 4
+ROUNDS = 2
 
 SIGNED_SCHEMA = "doc_id long, tk long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>"
 _LONGS = pa.list_(pa.int64())
@@ -113,7 +114,7 @@ def table_keys(nodes: DataFrame, path: str) -> DataFrame:
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("who")).filter(F.col("times") > 1)
     groups = groups.groupBy("times", "low", "who").agg(F.min("key").alias("key")).select("key", "times")
     groups = materialise(groups, f"{path}/groups")
-    return materialise(join_split(keyed, groups, ["key"], "times", keyed.count()), f"{path}/members")
+    return materialise(join_split(keyed, groups, ["key"], "times", keyed.count()).select("key", "node", "n"), f"{path}/members")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,8 +130,8 @@ def _can(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def components(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
-    """node, comp: the smallest node that each of ``nodes`` reaches over ``edges`` (a, b).
+def components(edges: DataFrame, path: str) -> DataFrame:
+    """node, comp: the smallest node that each end of the ``edges`` (a, b) reaches.
 
     Each node takes the least label around it, then its label's label, until nothing changes.
     A node with many edges is joined by broadcast (see join_split).
@@ -138,58 +139,119 @@ def components(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, f"{path}/both")
     total = both.count()
-    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    labels = materialise(degrees.select(F.col("a").alias("node"), F.col("a").alias("comp"), "degree"), f"{path}/labels-0")
+    labels = materialise(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.least("a", F.min("b")).alias("comp")), f"{path}/labels-0")
     step = 0
     while True:
         step += 1
-        near = join_split(both, labels.select(F.col("node").alias("a"), "comp", "degree"), ["a"], "degree", total).groupBy("b").agg(F.min("comp").alias("least"))
-        joined = labels.join(near, labels.node == near.b, "left").select("node", "comp", F.least("comp", F.coalesce("least", "comp")).alias("next"), "degree")
-        joined = materialise(joined, f"{path}/near-{step}")
-        sizes = joined.groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).alias("w"))
-        jump = joined.select("node", F.col("next").alias("up")).join(sizes, "node").select(F.col("node").alias("next"), "up", "w")
-        moved = join_split(joined, jump, ["next"], "w", total).select("node", F.least("next", "up").alias("comp"), "degree", (F.col("comp") != F.least("next", "up")).alias("moved"))
+        near = join_split(both, labels, ["a"], "degree", total).groupBy("b").agg(F.min("comp").alias("least"))
+        joined = labels.join(near, labels.a == near.b).select("a", "degree", "comp", F.least("comp", "least").alias("next"))
+        up = labels.select(F.col("a").alias("next"), F.col("comp").alias("up"))
+        # a label that many nodes have is one node; AQE splits its side of this join
+        moved = joined.join(up, "next").select("a", "degree", F.least("next", "up").alias("comp"), (F.col("comp") != F.least("next", "up")).alias("moved"))
         moved = materialise(moved, f"{path}/labels-{step}")
         labels = moved.drop("moved")
         if not moved.filter("moved").limit(1).count():
-            break
-    return nodes.select("node").join(labels.select("node", "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+            return labels.select(F.col("a").alias("node"), "comp")
+
+
+def prefix_keys(nodes: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """key, node, n: groups in which any two of ``nodes`` that are similar enough meet.
+
+    In one order of all shingles, two sets of the wanted similarity share one of the first
+    n - ceil(percent * n / 100) + 1 of each. The order is by rising document frequency, so what many
+    texts share comes last, and a passage common to thousands of different texts makes no group.
+    Shingles of one document come first of all; they count, but can't be shared.
+    """
+    own = sets.join(nodes.select("node").distinct(), "node", "left_semi")
+    tokens = own.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = materialise(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1), f"{path}/frequencies")
+    total = common.agg(F.sum("df")).first()[0] or 0
+    listed = join_split(tokens, common, ["key"], "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ks"))
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    first = F.greatest(length - (F.col("n") - F.size("ks")), F.lit(0)).cast("int")
+    rows = listed.select("node", F.col("n").cast("long").alias("n"), F.explode(F.slice("ks", F.lit(1), first)).alias("k")).select("k.key", "node", "n")
+    rows = materialise(rows, f"{path}/prefixes")
+    return rows
+
+
+class _Links:
+    """The components as they stand, and the pairs that were found not to be linked."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int, path: str):
+        self.sets, self.percent, self.path, self.turn = sets, percent, path, 0
+        self.comps = materialise(nodes.select("node").distinct().select("node", F.col("node").alias("comp")), f"{path}/comps-start")
+        self.tested = nodes.sparkSession.createDataFrame([], "a long, b long")
+
+    def apart(self, members: DataFrame) -> DataFrame | None:
+        """The members (key, node, n) of groups in several components, with comp, times and a center."""
+        self.turn += 1
+        total = members.count()
+        weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("w")).join(self.comps, "node")
+        known = materialise(join_split(members.select("key", "node", "n"), weights, ["node"], "w", total).select("key", "node", "n", "comp"), f"{self.path}/known-{self.turn}")
+        order = F.col("node") if self.turn == 1 else F.xxhash64(F.lit(self.turn), "node")
+        groups = known.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "n", "comp"), order).alias("center"))
+        groups = materialise(groups.filter(F.col("c0") != F.col("c1")).select("key", "times", "center"), f"{self.path}/groups-{self.turn}")
+        total = groups.agg(F.sum("times")).first()[0] or 0
+        return materialise(join_split(known, groups, ["key"], "times", total), f"{self.path}/apart-{self.turn}") if total else None
+
+    def to_centers(self, apart: DataFrame) -> DataFrame:
+        """One pair for each member that is not in its center's component."""
+        other = (F.col("comp") != F.col("center.comp")) & _can(F.col("n"), F.col("center.n"), self.percent)
+        return apart.filter(other).select(F.col("node").alias("x"), F.col("center.node").alias("y"))
+
+    def across(self, apart: DataFrame) -> DataFrame:
+        """Each pair of a group's members in different components."""
+        other = apart.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+        return apart.select("key", F.col("node").alias("x"), "n", "comp").join(other, "key").filter((F.col("x") < F.col("y")) & (F.col("comp") != F.col("cy")) & _can(F.col("n"), F.col("ny"), self.percent)).select("x", "y")
+
+    def judge(self, pairs: DataFrame) -> None:
+        """Compares full sets and joins the components of the similar."""
+        path, comps = self.path, self.comps
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti")
+        judged = materialise(similar(pairs, self.sets, self.percent), f"{path}/judged-{self.turn}")
+        release(pairs.sparkSession)
+        links = judged.filter("ok").select("a", "b")
+        self.tested = self.tested.unionByName(judged.filter(~F.col("ok")).select("a", "b"))
+        if not links.limit(1).count():
+            return
+        # links between components, by their current names
+        named = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+        renamed = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b"), f"{path}/cc-{self.turn}").withColumnRenamed("comp", "to").withColumnRenamed("node", "comp")
+        self.comps = materialise(_renamed(comps, renamed).select("node", "comp"), f"{path}/comps-{self.turn}")
+
+
+def _renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with comp replaced by ``to`` of names (comp, to) where it is named there."""
+    weights = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("w")).join(names, "comp")
+    moved = join_split(rows, weights, ["comp"], "w", rows.count()).drop("comp", "w").withColumnRenamed("to", "comp")
+    return moved.unionByName(rows.join(names, "comp", "left_anti"))
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int, path: str) -> DataFrame:
-    """node, comp over the nodes of ``members`` (key, node, n, times); the links are verified ones."""
-    spark = members.sparkSession
-    comps = materialise(members.select("node").distinct().select("node", F.col("node").alias("comp")), f"{path}/comps-start")
-    tested = spark.createDataFrame([], "a long, b long")
-    apart, total = members, members.count()
-    for turn in range(rounds + 1):
-        weights = apart.groupBy("node").agg(F.count(F.lit(1)).alias("w")).join(comps, "node")
-        known = join_split(apart.select("key", "node", "n"), weights, ["node"], "w", total).select("key", "node", "n", "comp")
-        known = materialise(known, f"{path}/known-{turn}")
-        order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-        per_key = known.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "n", "comp"), order).alias("center")).filter(F.col("c0") != F.col("c1"))
-        per_key = materialise(per_key, f"{path}/keys-{turn}")
-        total = per_key.agg(F.sum("times")).first()[0] or 0
-        if not total:
+    """node, comp over the nodes of ``members`` (key, node, n); every link within a group is found.
+
+    ``rounds`` comparisons with centers settle what is near. Of what is still apart, the groups are
+    formed anew by prefix_keys(), which parts texts that only share passages, and compared with
+    centers once more; then across components.
+    """
+    state = _Links(members, sets, percent, path)
+    for _ in range(rounds):
+        apart = state.apart(members)
+        if apart is None:
+            return state.comps
+        state.judge(state.to_centers(apart))
+        members = apart.select("key", "node", "n")
+    apart = state.apart(members)
+    if apart is None:
+        return state.comps
+    members = prefix_keys(apart.select("node"), sets, percent, path)
+    for pairs in (state.to_centers, state.across):
+        apart = state.apart(members)
+        if apart is None:
             break
-        apart = materialise(join_split(known, per_key.select("key", "times", "center"), ["key"], "times", total), f"{path}/apart-{turn}")
-        if turn < rounds:
-            pairs = apart.filter((F.col("comp") != F.col("center.comp")) & _can(F.col("n"), F.col("center.n"), percent)).select(F.col("node").alias("x"), F.col("center.node").alias("y"))
-        else:
-            other = apart.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            pairs = apart.select("key", F.col("node").alias("x"), "n", "comp").join(other, "key").filter((F.col("x") < F.col("y")) & (F.col("comp") != F.col("cy")) & _can(F.col("n"), F.col("ny"), percent)).select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        judged = materialise(similar(pairs, sets, percent), f"{path}/judged-{turn}")
-        release(spark)
-        links = judged.filter("ok").select("a", "b")
-        tested = tested.unionByName(judged.filter(~F.col("ok")).select("a", "b"))
-        if links.limit(1).count():
-            # links between components, by their current names
-            named = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-            merged = components(comps.select(F.col("comp").alias("node")).distinct(), named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b"), f"{path}/cc-{turn}")
-            heavy = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("w")).join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp")
-            comps = materialise(join_split(comps, heavy, ["comp"], "w", comps.count()).select("node", F.col("to").alias("comp")), f"{path}/comps-{turn}")
-    return comps
+        state.judge(pairs(apart))
+        members = apart.select("key", "node", "n")
+    return state.comps
 
 
 def _one_per_document(rows: DataFrame, path: str) -> DataFrame:
@@ -199,11 +261,8 @@ def _one_per_document(rows: DataFrame, path: str) -> DataFrame:
     if not several.limit(1).count():
         return rows
     edges = rows.join(several, "doc_id").select(F.col("component_id").alias("a"), F.col("low").alias("b")).filter("a <> b")
-    named = components(rows.select(F.col("component_id").alias("node")).distinct(), edges, f"{path}/cc-rows").withColumnRenamed("comp", "to").filter("node <> to")
-    weights = rows.groupBy(F.col("component_id").alias("node")).agg(F.count(F.lit(1)).alias("w"))
-    moved = join_split(rows.withColumnRenamed("component_id", "node"), named.join(weights, "node"), ["node"], "w", rows.count())
-    still = rows.withColumnRenamed("component_id", "node").join(named.select("node"), "node", "left_anti")
-    return moved.select("doc_id", "tk", "n_shingles", F.col("to").alias("component_id")).unionByName(still.select("doc_id", "tk", "n_shingles", F.col("node").alias("component_id")))
+    names = components(edges, f"{path}/cc-rows").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return _renamed(rows.withColumnRenamed("component_id", "comp"), names).select("doc_id", "tk", "n_shingles", F.col("comp").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m: int = M, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
