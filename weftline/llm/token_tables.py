@@ -19,13 +19,13 @@ binary search in the index, and the entry by binary search over the restarts.
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -43,8 +43,9 @@ END_ID = 0
 FOOTER = struct.Struct("<QQQQQQII8s")
 _INDEX = struct.Struct("<13sQII")
 KEY_BYTES = 13
-#: Words whose ids a worker remembers at most; beyond that it starts afresh.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker remembers at most; beyond that it drops the longer ones.
+CACHED_WORDS = 800_000
+SHORT_WORD = 10
 
 MANIFEST_SCHEMA = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -231,10 +232,15 @@ def open_table(uri: str) -> Table:
 
 
 # --------------------------------------------------------------------------- encoding
-# Characters that no rule of a byte-level splitter takes for white space.
-_SOLID = "[!-~¡-ɏ]"
-_ODD = re.compile("[^\n -~¡-ɏ]|  | \n|\n |\n\n|^[ \n]|[ \n]$")
-_LINES, _SPACES = re.compile(f"(?<={_SOLID})\n(?={_SOLID})"), re.compile(f"(?<={_SOLID}) (?={_SOLID})")
+def usual(text: str) -> bool:
+    """Single spaces and line feeds between printable characters, and no other white space.
+
+    What Python calls printable is never white space to a splitter. All other texts are encoded whole.
+    """
+    return (
+        text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
+        and text.replace("\n", "").isprintable()
+    )
 
 
 class Encoder:
@@ -242,7 +248,8 @@ class Encoder:
 
     A byte-level splitter never joins what stands on both sides of a single space (it goes with the
     word after it) or of a single line feed (a piece of its own) between solid characters. Texts are
-    cut there, and each distinct piece is encoded by the tokenizer once.
+    cut there, and each distinct piece is encoded by the tokenizer once. A piece is written as "\r"
+    and the word at the start of a text, "\n" and the word at that of a line, else the word alone.
     """
 
     def __init__(self, definition: str):
@@ -253,9 +260,7 @@ class Encoder:
         self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         # in a byte-level vocabulary a token has one character per byte
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
-        self.heads: dict[str, bytes] = {}  # pieces at the start of a line
-        self.words: dict[str, bytes] = {}  # pieces after a space
-        self.line = self.pack(self.plain(["\n"])[0])
+        self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.type).tobytes()
 
     def plain(self, texts: list[str]) -> list[list[int]]:
@@ -264,51 +269,67 @@ class Encoder:
     def pack(self, ids) -> bytes:
         return np.asarray(ids, self.type).tobytes()
 
-    def learn(self, known: dict[str, bytes], pieces: set[str], mark: str) -> None:
-        new = [p for p in pieces if p not in known]
-        odd = [p for p in new if not p or _ODD.search(p)]
-        for p, ids in zip(odd, self.plain([p if mark == "\n" else mark + p for p in odd])):
-            known[p] = self.pack(ids)
-        if odd:
-            new = [p for p in new if p not in known]
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            # one call for many pieces; the sizes of its tokens tell where each piece ends
-            joined = "".join(mark + p for p in part)
-            ids = np.array(self.plain([joined])[0], np.int64)
-            ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len((mark + p).encode()) for p in part])
+    @staticmethod
+    def spelled(piece: str) -> str:
+        return piece[1:] if piece[:1] == "\r" else piece if piece[:1] == "\n" else " " + piece
+
+    def learn(self, pieces: list[str]) -> None:
+        """Adds new pieces. Many go in one call; the sizes of its tokens tell where each ends."""
+        heads = [p for p in pieces if p[:1] == "\r"]
+        for p, ids in zip(heads, self.plain([p[1:] for p in heads])):
+            self.known[p] = self.pack(ids)
+        rest = [p for p in pieces if p[:1] != "\r"]
+        for i in range(0, len(rest), 2000):
+            part = rest[i : i + 2000]
+            spelled = [self.spelled(p) for p in part]
+            ids = np.array(self.plain(["".join(spelled)])[0], np.int64)
+            ends, stops = np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in spelled])
             cuts = np.searchsorted(ends, stops)
             if len(ids) and (cuts < len(ends)).all() and (ends[cuts] == stops).all():
                 packed, width = self.pack(ids), self.type.itemsize
                 start = 0
-                skip = len(self.line) if mark == "\n" else 0
                 for p, cut in zip(part, (cuts + 1).tolist()):
-                    known[p] = packed[start * width + skip : cut * width]
+                    self.known[p] = packed[start * width : cut * width]
                     start = cut
             else:
-                for p, own in zip(part, self.plain([p if mark == "\n" else mark + p for p in part])):
-                    known[p] = self.pack(own)
+                for p, own in zip(part, self.plain(spelled)):
+                    self.known[p] = self.pack(own)
+
+    def packed(self, pieces: list[str]) -> list[bytes]:
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            # short words recur most; if they are too many as well, all go
+            kept = {p: x for p, x in self.known.items() if len(p) <= SHORT_WORD}
+            self.known = kept if len(kept) < CACHED_WORDS // 2 else {}
+            new = [p for p in pieces if p not in self.known]
+        self.learn(new)
+        return [self.known[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text, with the end id."""
-        cut, heads, words = [], set(), set()
-        for text in texts:
-            if _ODD.search(text):
-                lines = [_SPACES.split(x) for x in _LINES.split(text)]
-            else:
-                lines = [x.split(" ") for x in text.split("\n")]
-            for x in lines:
-                heads.add(x[0])
-                words.update(x[1:])
-            cut.append(lines)
-        if len(self.heads) + len(self.words) + len(heads) + len(words) > CACHED_WORDS:
-            self.heads.clear()
-            self.words.clear()
-        self.learn(self.heads, heads, "\n")
-        self.learn(self.words, words, " ")
-        head, word = self.heads, self.words.__getitem__
-        return [self.line.join([b"".join([head[x[0]], *map(word, x[1:])]) for x in lines]) + self.end for lines in cut]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, x in enumerate(texts) if x and usual(x)]
+        odd = sorted({i for i, x in enumerate(texts) if x} - set(plain))
+        for i, ids in zip(odd, self.plain([texts[i] for i in odd])):
+            out[i] = self.pack(ids)
+        if plain:
+            marked = pa.array([texts[i] for i in plain], pa.large_string())
+            marked = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), pc.replace_substring(marked, "\n", " \n"), pa.scalar("", pa.large_string()))
+            lists = pc.split_pattern(marked, " ")
+            coded = lists.flatten().dictionary_encode()
+            ids = self.packed(coded.dictionary.to_pylist())
+            width = self.type.itemsize
+            sizes = np.array([len(x) for x in ids], np.int64) // width
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            table = np.frombuffer(b"".join(ids), self.type)
+            word = coded.indices.to_numpy()
+            n = sizes[word]
+            ends = np.cumsum(n)
+            flat = table[np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1])]
+            bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            for k, i in enumerate(plain):
+                out[i] = flat[bounds[k] : bounds[k + 1]].tobytes()
+        return [x + self.end for x in out]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -323,7 +344,7 @@ def encoder(definition: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], limit: int = 3 << 20) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, text in enumerate(texts):
         if size and size + len(text) > limit:
