@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,36 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.scratch import materialise, shared_root, workspace
+
+__all__ = ["materialise", "shared_root", "workspace"]
+
 # The word separators of every contract: space and the control characters 9 to 13.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 CHUNK_BYTES = 1 << 21
 
 
-# --------------------------------------------------------------------------- shared folders
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one only where the session names none."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one call of one operator."""
-    return f"{shared_root(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as a table below the shared folder and read it back: lineage ends there."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_key(col):
     """Tells rows apart that repeat a doc_id with another text; null and empty differ."""
     return F.coalesce(F.xxhash64(col), F.lit(0).cast("long"))

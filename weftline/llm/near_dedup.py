@@ -29,7 +29,7 @@ SHINGLE = 5
 PERCENT = 80
 M = 14
 ROWS = 3
-ROUNDS = 2
+ROUNDS = 1
 
 SIGNED_SCHEMA = "doc_id long, tk long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>"
 _LONGS = pa.list_(pa.int64())
@@ -185,9 +185,8 @@ class _Links:
     def apart(self, members: DataFrame) -> DataFrame | None:
         """The members (key, node, n) of groups in several components, with comp, times and a center."""
         self.turn += 1
-        total = members.count()
-        weights = members.groupBy("node").agg(F.count(F.lit(1)).alias("w")).join(self.comps, "node")
-        known = materialise(join_split(members.select("key", "node", "n"), weights, ["node"], "w", total).select("key", "node", "n", "comp"), f"{self.path}/known-{self.turn}")
+        # a node is in a bounded number of groups: M * M, or as many as a prefix is long
+        known = materialise(members.select("key", "node", "n").join(self.comps, "node").select("key", "node", "n", "comp"), f"{self.path}/known-{self.turn}")
         order = F.col("node") if self.turn == 1 else F.xxhash64(F.lit(self.turn), "node")
         groups = known.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "n", "comp"), order).alias("center"))
         groups = materialise(groups.filter(F.col("c0") != F.col("c1")).select("key", "times", "center"), f"{self.path}/groups-{self.turn}")
