@@ -155,12 +155,12 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 
 
 def prefix_keys(nodes: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
-    """key, node, n: groups in which any two of ``nodes`` that are similar enough meet.
+    """key, node, n, place: groups in which any two of ``nodes`` that are similar enough meet.
 
     In one order of all shingles, two sets of the wanted similarity share one of the first
     n - ceil(percent * n / 100) + 1 of each. The order is by rising document frequency, so what many
     texts share comes last, and a passage common to thousands of different texts makes no group.
-    Shingles of one document come first of all; they count, but can't be shared.
+    Shingles of one document come first of all; they have places, but can't be shared.
     """
     own = sets.join(nodes.select("node").distinct(), "node", "left_semi")
     tokens = own.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
@@ -168,10 +168,9 @@ def prefix_keys(nodes: DataFrame, sets: DataFrame, percent: int, path: str) -> D
     total = common.agg(F.sum("df")).first()[0] or 0
     listed = join_split(tokens, common, ["key"], "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ks"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    first = F.greatest(length - (F.col("n") - F.size("ks")), F.lit(0)).cast("int")
-    rows = listed.select("node", F.col("n").cast("long").alias("n"), F.explode(F.slice("ks", F.lit(1), first)).alias("k")).select("k.key", "node", "n")
-    rows = materialise(rows, f"{path}/prefixes")
-    return rows
+    alone = F.col("n") - F.size("ks")
+    rows = listed.select("node", F.col("n").cast("long").alias("n"), alone.alias("alone"), F.posexplode(F.slice("ks", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("i", "k"))
+    return materialise(rows.select("k.key", "node", "n", (F.col("alone") + F.col("i")).alias("place")), f"{path}/prefixes")
 
 
 class _Links:
@@ -183,10 +182,10 @@ class _Links:
         self.tested = nodes.sparkSession.createDataFrame([], "a long, b long")
 
     def apart(self, members: DataFrame) -> DataFrame | None:
-        """The members (key, node, n) of groups in several components, with comp, times and a center."""
+        """The members (key, node, n, maybe place) of groups in several components, with comp, times and a center."""
         self.turn += 1
         # a node is in a bounded number of groups: M * M, or as many as a prefix is long
-        known = materialise(members.select("key", "node", "n").join(self.comps, "node").select("key", "node", "n", "comp"), f"{self.path}/known-{self.turn}")
+        known = materialise(members.join(self.comps, "node"), f"{self.path}/known-{self.turn}")
         order = F.col("node") if self.turn == 1 else F.xxhash64(F.lit(self.turn), "node")
         groups = known.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "n", "comp"), order).alias("center"))
         groups = materialise(groups.filter(F.col("c0") != F.col("c1")).select("key", "times", "center"), f"{self.path}/groups-{self.turn}")
@@ -199,9 +198,19 @@ class _Links:
         return apart.filter(other).select(F.col("node").alias("x"), F.col("center.node").alias("y"))
 
     def across(self, apart: DataFrame) -> DataFrame:
-        """Each pair of a group's members in different components."""
-        other = apart.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        return apart.select("key", F.col("node").alias("x"), "n", "comp").join(other, "key").filter((F.col("x") < F.col("y")) & (F.col("comp") != F.col("cy")) & _can(F.col("n"), F.col("ny"), self.percent)).select("x", "y")
+        """The pairs in different components whose places (see prefix_keys) leave room for similarity.
+
+        The overlap has to be percent / (100 + percent) of both sizes together. The smaller set of a
+        pair so has a common shingle among fewer of its first ones still, and after the first common
+        one, at places p and q, at most min(n - p, m - q) can be common.
+        """
+        percent = self.percent
+        short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+        small = apart.filter(F.col("place") < short).select("key", F.col("node").alias("x"), "n", "comp", F.col("place").alias("p"))
+        other = apart.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("place").alias("q"))
+        ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y")))
+        room = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+        return small.join(other, "key").filter(ordered & (F.col("comp") != F.col("other")) & _can(F.col("n"), F.col("m"), percent) & room).select("x", "y")
 
     def judge(self, pairs: DataFrame) -> None:
         """Compares full sets and joins the components of the similar."""
@@ -249,7 +258,7 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int, path:
         if apart is None:
             break
         state.judge(pairs(apart))
-        members = apart.select("key", "node", "n")
+        members = apart.select(*members.columns)
     return state.comps
 
 
