@@ -108,7 +108,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
         found = [b for b, _ in features(Words(raw, np.array([0, len(raw)])))]
         buckets, times = np.unique(np.concatenate(found), return_counts=True)
         if len(buckets):
-            documents.append((buckets, (times / (times.sum() + PRIOR)).astype(np.float32), quality))
+            documents.append((buckets.astype(np.int32), (times / (times.sum() + PRIOR)).astype(np.float32), quality))
     scale = {c: counts[c] / present[c] for c in (0, 1)}
     mean = sum(scale[q] for _, _, q in documents) / max(1, len(documents))
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
