@@ -90,3 +90,22 @@ def test_readiness_stream(spark, tmp_path):
     query.awaitTermination(60)
     got = {(r.child, r.arrived, r.ready) for r in spark.table("ready").collect()}
     assert ("d", 3, True) in got
+
+
+def test_python_functions_over_results(spark):
+    from weftline.operators.functions import outputs, result_udf
+
+    def inverse(x: int) -> float:
+        return None if x == 1 else 10.0 / x
+
+    def both(x: float) -> tuple[str, int]:
+        return str(x), int(x)
+
+    df = spark.createDataFrame([(2,), (1,), (0,)], "v long").select(result_udf(inverse)(results.ok(F.col("v"))).alias("r"))
+    df = df.select("r", result_udf(both)(F.col("r")).alias("b"), result_udf(lambda p: "bad" if p[1] else "good", "string", strict=False)(F.col("r")).alias("lax"))
+    rows = df.select("r", *outputs(F.col("b"), ["s", "i"]), "lax.value").collect()
+    assert [r.r.value for r in rows] == [5.0, None, None]
+    assert [r.r.error and r.r.error.kind for r in rows] == [None, "MissingOutput", "ExceptionRaised"]
+    assert [(r.s.value, r.i.value) for r in rows] == [("5.0", 5), (None, None), (None, None)]
+    assert rows[2].s.error == rows[2].r.error and rows[2].r.error.source.endswith("inverse")
+    assert [r.value for r in rows] == ["good", "bad", "bad"]
