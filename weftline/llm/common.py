@@ -15,7 +15,6 @@ __all__ = ["materialise", "shared_root", "workspace"]
 
 # The word separators of every contract: space and the control characters 9 to 13.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 CHUNK_BYTES = 1 << 21
 
 
