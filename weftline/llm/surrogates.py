@@ -45,17 +45,23 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: The kinds in the order in which they are tried, as Java regular expressions.
 KINDS: dict[str, str] = {
     "secret": r"(?<![\p{L}\d])(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|(?<!\d)\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
+    "name": rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Cheap and true for every text with an entity: texts without it are passed through.
-HINT = rf"[@0-9]|(?<![\p{{L}}])(?:{_TITLES}|{_GIVEN}|AKIA|ASIA)|(?i:pass|pwd|token|secret|key)[a-z]*[ ]?[=:]"
+_SECRET_HINT = r"(?i:pass|pwd|token|secret|key)[a-z]*[ ]?[=:]"
+_NAME_HINT = rf"(?<![\p{{L}}\d])(?=\p{{Lu}})(?:{_TITLES}|{_GIVEN}|AKIA|ASIA)"
+
+
+def hint(text: Column) -> Column:
+    """True for every text with an entity, and cheaper than finding them: others are passed through."""
+    secret = (text.contains("=") | text.contains(":")) & text.rlike(_SECRET_HINT)
+    return F.coalesce(text.contains("@") | text.rlike("[0-9]") | secret | text.rlike(_NAME_HINT), F.lit(False))
 
 
 def kind_of(entity: Column) -> Column:
@@ -181,7 +187,7 @@ def gender_of(kind: Column, head: Column, value: Column) -> Column:
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, tk, place, entity, kind, head, norm, gender of every entity; place counts within its text."""
-    found = docs.filter(F.col("text").rlike(HINT)).select("doc_id", text_key(F.col("text")).alias("tk"), F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("place", "entity"))
+    found = docs.filter(hint(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("tk"), F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("place", "entity"))
     found = found.withColumn("kind", kind_of(F.col("entity")))
     found = found.withColumn("head", head_of(F.col("kind"), F.col("entity")))
     value = F.substring(F.col("entity"), F.char_length("head") + 1, F.char_length("entity"))
@@ -238,7 +244,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     new = F.when(F.col("kind").isin("phone", "card"), _refilled(F.col("entity"), F.regexp_replace("stand", "[^0-9]", ""))).otherwise(F.concat("head", "stand"))
     replaced = join_split(found, stands.select("kind", "norm", "stand", "times"), ["kind", "norm"], "times", total)
     per_text = replaced.groupBy(F.col("doc_id").alias("d"), F.col("tk").alias("k")).agg(F.sort_array(F.collect_set(F.struct("place", new.alias("new"), "kind"))).alias("es"))
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    hinted = hint(F.col("text"))
     rows = docs.filter(hinted).withColumn("tk", text_key(F.col("text")))
     rows = rows.join(per_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("k")), "left")
     pieces = F.split(F.col("text"), PATTERN, -1)
