@@ -22,7 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays (five-word shingles, similarity 0.8)."""
+    """Of each group of near duplicates the smallest doc_id stays (five-word shingles, similarity 0.8).
+
+    Rows with one doc_id are one document: rows that the table repeats stay together.
+    """
     found = near_dedup.near_duplicates(docs)
     return keep_rows(docs, found.filter(~F.col("kept")), "left_anti")
 
