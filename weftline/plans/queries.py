@@ -401,7 +401,12 @@ def _lines_of(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
     return rows.select(F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber").alias("n")).distinct()
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber").alias("n")).distinct()
+
+
 _LINES = "SELECT DISTINCT 'l:'||l_orderkey||':'||l_linenumber AS n FROM lineitem WHERE l_orderkey <= {}"
+_ALL_LINES = "SELECT DISTINCT 'l:'||l_orderkey||':'||l_linenumber AS n FROM lineitem"
 _UP = "a(n) AS ({start} UNION SELECT e.p FROM e JOIN a ON e.c = a.n)"
 _DOWN = "d(n) AS ({start} UNION SELECT e.c FROM e JOIN d ON e.p = d.n)"
 _LEVELS = "lv(n, level) AS ({start} UNION SELECT e.c, level + 1 FROM e JOIN lv ON e.p = lv.n)"
@@ -483,6 +488,33 @@ def param_subgraph(spark, sf_dir):
     return graph.between(edges(spark, sf_dir), nodes(spark, "r:0"), _lines_of(spark, sf_dir, 50))
 
 
+# The four above take the lines of the first orders as their target; these take every line.
+@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)} SELECT n FROM a WHERE NOT starts_with(n, 'l:')")
+def all_ancestors(spark, sf_dir):
+    return graph.ancestors(edges(spark, sf_dir), _lines(spark, sf_dir))
+
+
+@query(
+    f"""
+WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)}, k AS (SELECT c, count(DISTINCT p) AS m FROM e GROUP BY c)
+SELECT n, coalesce(m, 0)::BIGINT AS pending FROM a LEFT JOIN k ON k.c = a.n
+"""
+)
+def all_build_dag(spark, sf_dir):
+    return graph.build_dag(edges(spark, sf_dir), _lines(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)} SELECT DISTINCT c AS n FROM e JOIN a ON e.c = a.n WHERE p = 'n:0'")
+def all_dag_dependents(spark, sf_dir):
+    all_edges = edges(spark, sf_dir)
+    return graph.dag_dependents(all_edges, graph.build_dag(all_edges, _lines(spark, sf_dir)), "n:0")
+
+
+@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)}, {_DOWN.format(start=chr(39).join(['SELECT ', 'r:0', '']))} SELECT n FROM a INTERSECT SELECT n FROM d")
+def all_param_subgraph(spark, sf_dir):
+    return graph.between(edges(spark, sf_dir), nodes(spark, "r:0"), _lines(spark, sf_dir))
+
+
 @query(f"WITH RECURSIVE e AS ({EDGES}), {_DOWN.format(start=chr(39).join(['SELECT ', 'c:1', '']))} SELECT n FROM d WHERE NOT starts_with(n, 'o:')")
 def reset_descendants(spark, sf_dir):
     """Everything below a customer has to be computed again, but for orders, which are constants here."""
