@@ -54,8 +54,8 @@ KINDS: dict[str, str] = {
     "name": rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-_SECRET_HINT = r"(?i:pass|pwd|token|secret|key)[a-z]*[ ]?[=:]"
-_NAME_HINT = rf"(?<![\p{{L}}\d])(?=\p{{Lu}})(?:{_TITLES}|{_GIVEN}|AKIA|ASIA)"
+_SECRET_HINT = r"(?i:(?:pass|pwd|token|secret|key)[a-z]*[ ]?[=:])"
+_NAME_HINT = rf"(?=\p{{Lu}})(?:(?<![\p{{L}}\d])(?:{_TITLES}|{_GIVEN})|(?<![A-Za-z0-9])(?:AKIA|ASIA))"
 
 
 def hint(text: Column) -> Column:
