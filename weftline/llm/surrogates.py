@@ -3,7 +3,8 @@
 One regular expression finds the entities of a text. A stand-in depends on a secret key, the kind
 and the entity's normal form, so an entity has the same one in the whole corpus (coreference). A
 table of the distinct entities checks for collisions: two entities with one stand-in, or a stand-in
-that is itself an entity of the corpus. The later ones by normal form draw again until all are distinct.
+that is itself an entity of the corpus. The later ones by normal form draw again until all are distinct;
+later draws are longer, so that no number of entities uses them up.
 Names keep gender and script, cards their leading digit, length and checksum, phones their country code
 and punctuation, secrets their alphabet. Only DataFrame functions are used.
 """
@@ -19,6 +20,8 @@ from .common import join_split, let, materialise, release, text_key, workspace
 
 KEY = "weftline-surrogates"
 MAX_DRAWS = 60
+#: Draws from one length to the next; and the first draw that leaves a fixed format, for when that is nearly full.
+GROWS, LEAVES_FORMAT = 2, 12
 
 # Fixed word lists: titles by gender, and given names and surname syllables by script.
 TITLES = {
@@ -117,6 +120,7 @@ def _shaped(value: Column, hexes: Column, only_hex: Column | None = None) -> Col
             .when(c.rlike("[0-9]"), _letters(_DIGITS, n))
             .when(c.rlike("[a-z]"), _letters(_LOWER, n))
             .when(c.rlike("[A-Z]"), _letters(_UPPER, n))
+            .when(c.rlike(r"\p{L}"), _letters(_LOWER, n))
             .otherwise(c)
         )
 
@@ -135,25 +139,39 @@ def _checksummed(digits: Column) -> Column:
     return F.concat(body, F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
-def _name(norm: Column, hexes: Column, gender: Column) -> Column:
+def _more(pick, hexes: Column, n: Column) -> Column:
+    """n picks in a row, from places of ``hexes`` that others don't begin with; none for n of 0."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: pick(_number(hexes, i + 10))), "")).otherwise("")
+
+
+def _name(norm: Column, hexes: Column, gender: Column, draw: Column) -> Column:
+    grown = (draw / GROWS).cast("int")
+
     def of(script: str) -> Column:
         def given(g):
             return _pick(GIVEN[(script, g)], _number(hexes, 0))
 
         own = F.when(gender == "m", given("m")).when(gender == "f", given("f")).otherwise(F.when(F.pmod(_number(hexes, 9), F.lit(2)) == 0, given("m")).otherwise(given("f")))
-        surname = F.initcap(F.concat(_pick(SYLLABLES[script], _number(hexes, 1)), _pick(SYLLABLES[script], _number(hexes, 2)), _pick(ENDINGS[script], _number(hexes, 3))))
+        surname = F.initcap(F.concat(_pick(SYLLABLES[script], _number(hexes, 1)), _pick(SYLLABLES[script], _number(hexes, 2)), _more(lambda x: _pick(SYLLABLES[script], x), hexes, grown), _pick(ENDINGS[script], _number(hexes, 3))))
         return F.when(norm.contains(" "), F.concat_ws(" ", own, surname)).otherwise(surname)
 
     return F.when(norm.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
 def stand_in(key: str, kind: Column, norm: Column, gender: Column, draw: Column) -> Column:
-    """The stand-in for a normal form; phones and cards in digits alone."""
+    """The stand-in for a normal form; phones and cards in digits alone.
+
+    Names grow by syllables, emails and secrets by letters with the draws. The other kinds keep their
+    format for LEAVES_FORMAT draws; after that they grow by digits (IPs by a fifth number).
+    """
 
     def made(h):
+        grown = (draw / GROWS).cast("int")
+        letters = _more(lambda x: _letters(_LOWER, x), h, grown)
+        figures = _more(lambda x: _letters(_DIGITS, x), h, grown - LEAVES_FORMAT // GROWS + 1)
         domain = F.substring_index(norm, "@", -1)
         host = F.when(F.size(F.split(domain, r"\.")) > 2, F.substring_index(domain, ".", 1)).otherwise(F.lit("mail"))
-        email = F.concat(_shaped(F.substring_index(norm, "@", 1), h), F.lit("@"), let(_drawn(key, F.lit("domain"), domain, F.lit(0)), lambda d: _shaped(host, d)), F.lit(".example.org"))
+        email = F.concat(_shaped(F.substring_index(norm, "@", 1), h), letters, F.lit("@"), let(_drawn(key, F.lit("domain"), domain, F.lit(0)), lambda d: _shaped(host, d)), F.lit(".example.org"))
         octets = [F.pmod(_number(h, i), F.lit(254)) + 1 for i in range(3)]
         country = F.regexp_extract(norm, r"^\+(?:1|7|[2-9]\d)", 0)
         digits = _shaped(norm, h)
@@ -161,13 +179,13 @@ def stand_in(key: str, kind: Column, norm: Column, gender: Column, draw: Column)
         card = _checksummed(F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), F.char_length(norm))))
         return (
             F.when(kind == "email", email)
-            .when(kind == "ip", F.concat_ws(".", F.lit("10"), *[o.cast("string") for o in octets]))
-            .when(kind == "phone", phone)
-            .when(kind == "card", card)
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.char_length(norm))))
-            .when(kind == "access", F.concat(F.substring(norm, 1, 4), F.substring(digits, F.lit(5), F.char_length(norm))))
-            .when(kind == "secret", _shaped(norm, h, norm.rlike("^[0-9a-f]+$")))
-            .otherwise(_name(norm, h, gender))
+            .when(kind == "ip", F.concat_ws(".", F.lit("10"), *[o.cast("string") for o in octets], F.nullif(figures, F.lit(""))))
+            .when(kind == "phone", F.concat(phone, figures))
+            .when(kind == "card", F.concat(card, figures))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(2), F.char_length(norm)), figures))
+            .when(kind == "access", F.concat(F.substring(norm, 1, 4), F.substring(digits, F.lit(5), F.char_length(norm)), figures))
+            .when(kind == "secret", F.concat(_shaped(norm, h, norm.rlike("^[0-9a-f]+$")), letters))
+            .otherwise(_name(norm, h, gender, draw))
         )
 
     return let(_drawn(key, kind, norm, draw), made)
@@ -208,14 +226,14 @@ def dictionary(found: DataFrame, key: str, path: str) -> DataFrame:
         winners = drawn.groupBy("kind", "stand").agg(F.min("norm").alias("winner"), F.count(F.lit(1)).alias("sharing"))
         judged = drawn.join(winners, ["kind", "stand"]).join(originals, ["kind", "stand"], "left")
         losers = judged.filter((F.col("norm") != F.col("winner")) | F.col("real"))
-        known = materialise(losers.select("kind", "norm", "gender", "times", (F.col("draw") + 1).alias("draw")), f"{path}/again-{turn}")
+        known = materialise(losers.select("kind", "norm", "gender", "times", F.lit(turn + 1).alias("draw")), f"{path}/again-{turn}")
         if not known.limit(1).count():
             return drawn
     raise ValueError(f"stand-ins still collide after {MAX_DRAWS} draws")
 
 
 def _refilled(entity: Column, digits: Column) -> Column:
-    """The entity with its digits replaced, in order, by those of ``digits``."""
+    """The entity with its digits replaced, in order, by those of ``digits``, and what is left of them after it."""
 
     def step(acc, c):
         isdigit = c.rlike("[0-9]")
@@ -224,7 +242,7 @@ def _refilled(entity: Column, digits: Column) -> Column:
             (acc["n"] + F.when(isdigit, 1).otherwise(0)).alias("n"),
         )
 
-    return F.aggregate(F.filter(F.split(entity, ""), lambda c: c != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step)["out"]
+    return F.aggregate(F.filter(F.split(entity, ""), lambda c: c != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda acc: F.concat(acc["out"], F.substring(digits, acc["n"] + 1, F.char_length(digits))))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
