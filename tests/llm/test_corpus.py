@@ -252,6 +252,43 @@ def test_slots_have_to_be_consistent(spark):
     assert got[1] == (True,) and got[2] == (False,)
 
 
+def test_leaks_of_short_items_and_other_case(spark):
+    """Items without a window of templates, and verbatim copies whose letters changed case."""
+    items = {
+        1: "What is 2 + 2?",
+        2: "Compute 12 + 7 - 3 * 4",
+        3: "Wie viele Äpfel und Birnen kauft Frau Müller am Markt in Köln, wenn der Korb von Herrn Weiß in der Straße steht?",
+        4: "12 + 7 = 19",
+        5: "Boiling point",
+        6: "?!",
+        7: "Who met Anna?",
+    }
+    docs = [
+        (1, "so what is 2 + 2?", [1]),
+        (2, "They said: What is 30 + 30 and went on", [1]),
+        (3, "What is 30 + 31 then", []),  # one number of the item, two of the text
+        (4, "Now Compute 12 + 7 - 3 * 4.", [2]),
+        (5, "compute 90 + 8 - 6 * 5", [2]),
+        (6, "compute 90 + 8 - 90 * 5", []),
+        (7, items[3].lower(), [3]),
+        (8, "x\n" + items[3].upper(), [3]),
+        (9, items[3].replace("Birnen", "Pflaumen"), [3]),
+        (10, "as 12 + 7 = 19 shows", [4]),
+        (11, "as 12 + 8 = 20 shows", []),  # placeholders alone agree by chance
+        (12, "the BOILING POINT of it", [5]),
+        (13, "boiling", []),
+        (14, "what is 2", []),
+        (15, "?!", []),
+        (16, None, []),
+    ]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {d: i for d, (i,) in by_id(decontaminate.contaminated(df, bench), "item_ids").items()} == {d: i for d, _, i in docs}
+    windows = decontaminate.item_windows(bench)
+    one, many = (sorted(map(tuple, decontaminate.matches(df, windows, block).drop("slots").collect())) for block in (10**6, 7))
+    assert one == many and one
+
+
 # ------------------------------------------------------------------ 6
 def test_quality_model(spark):
     rng = np.random.default_rng(4)
