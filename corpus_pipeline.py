@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have the target shares of tokens."""
+    """A sample of half the tokens (KEEP) whose sources, languages and hashed topics have the target shares, as far as tokens allow."""
     return keep_rows(docs, mixing.mixed(docs).filter("kept"))
 
 

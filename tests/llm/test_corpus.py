@@ -361,6 +361,29 @@ def test_raking():
     assert mixing.rake({}, targets).cells == {}
 
 
+def test_full_cells_leave_no_gap():
+    """Many cells are full, and the margins still have their targets; a category with too few tokens is kept whole."""
+    for hot, least_full in ((60, 30), (80, 300)):
+        rng = np.random.default_rng(8)
+        tokens = {(f"s{s}", "xyz"[la], str(t)): float(rng.integers(1, 100)) * (1 if s else hot) for s in range(40) for la in range(3) for t in range(4)}
+        targets = [mixing.tempered(tokens, m) for m in range(3)]
+        goal = sum(tokens.values()) / 2
+        chances, gaps = mixing.sampled(mixing.rake(tokens, targets), tokens, targets, 0.5)
+        assert sum(p == 1 for p in chances.values()) >= least_full
+        assert sum(chances[c] * tokens[c] for c in tokens) == pytest.approx(goal) and all(0 <= p <= 1 for p in chances.values())
+        for m, target in enumerate(targets):
+            most = {c: sum(n for k, n in tokens.items() if k[m] == c) / goal for c in target}
+            miss = {c: sum(p * tokens[k] for k, p in chances.items() if k[m] == c) / goal - share for c, share in target.items()}
+            assert gaps[m] == pytest.approx(max(map(abs, miss.values())), abs=1e-9)
+            if all(share <= most[c] for c, share in target.items()):
+                assert gaps[m] < 1e-6, (hot, m)
+            else:  # who falls short is kept whole
+                assert hot == 80 and all(x > -1e-6 or target[c] + x == pytest.approx(most[c]) for c, x in miss.items())
+    few = {("a", "x", "1"): 900.0, ("b", "x", "1"): 100.0}
+    chances, gaps = mixing.sampled(mixing.rake(few, [{"a": 0.5, "b": 0.5}, {"x": 1.0}, {"1": 1.0}]), few, [{"a": 0.5, "b": 0.5}, {"x": 1.0}, {"1": 1.0}], 0.5)
+    assert chances == pytest.approx({("a", "x", "1"): 400 / 900, ("b", "x", "1"): 1.0}) and gaps == pytest.approx([0.3, 0, 0])
+
+
 def test_mixture_hits_its_targets(spark):
     rows = [(i, "word " * (5 + i % 7), "ab"[i % 4 == 0], "xy"[i % 3 == 0]) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
