@@ -311,6 +311,20 @@ def test_quality_model(spark):
     assert set(lone.values()) == {(0.5,)}
 
 
+def test_word_order_counts(spark):
+    """Texts that only the order of words tells apart: no word comes twice in a row, letters differ in the middle of words alone."""
+    rng = np.random.default_rng(6)
+    words = [f"mmmm{c}mmmm" for c in "abcdefghij"]
+    rows = []
+    for i in range(400):
+        rows.append((i, " ".join(words[j] for j in (rng.integers(10) + np.arange(40) * (1 if i % 2 else 3)) % 10)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = [(score, d % 2) for d, (held, score) in by_id(quality_model.score_documents(df, labels), "held_out", "score").items() if held]
+    good, bad = [s for s, q in got if q], [s for s, q in got if not q]
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
+
+
 # ------------------------------------------------------------------ 7
 def test_shards(spark, unique_docs):
     df, texts = unique_docs

@@ -1,8 +1,8 @@
 """Quality classifier of supervised subword embeddings.
 
-A document is the average of the learned vectors of its hashed words, of its hashed four-byte
-character sequences, and of word pairs, of which only "the same word twice" and "two words" are told
-apart. PRIOR zero vectors join the average, so that short texts stay near the bias. A softmax layer makes class chances of it. Vectors and layer are
+A document is the average of the learned vectors of its hashed words, of its hashed pairs of
+neighbouring words in their order, of whether a pair is "the same word twice" or "two words", and of
+its hashed four-byte character sequences. PRIOR zero vectors join the average, so that short texts stay near the bias. A softmax layer makes class chances of it. Vectors and layer are
 trained together by stochastic gradient descent in numpy, on the driver, over a sample of labelled
 rows whose size is bounded by a parameter. As softmax over two classes depends on the difference of
 the two class weights alone, scoring needs one number per bucket: the vector's product with that
@@ -60,6 +60,7 @@ def features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield (hashes % size).astype(np.int64), text
     pair = text[1:] == text[:-1]
     yield np.where(hashes[1:] == hashes[:-1], BUCKETS - 1, BUCKETS - 2)[pair], text[1:][pair]
+    yield (mix(hashes[:-1][pair] * np.uint64(3) + hashes[1:][pair]) % size).astype(np.int64), text[1:][pair]
     data, offsets = words.data.astype(np.uint64), words.offsets
     n = len(data) - GRAM + 1
     if n > 0:
