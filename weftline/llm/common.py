@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ def _constants(seed: int, n: int) -> np.ndarray:
     return rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
 
 
-_BYTE = _constants(20_011, 256)
-_BASE_W, _BASE_G = (int(x) | 1 for x in _constants(20_012, 2))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PAIR, _SPAN = (np.uint64(int(x) | 1) for x in _constants(20_012, 2))
+_CHAIN_A, _CHAIN_B, _STEP_B = _constants(20_013, 3)
+#: Words under SHORT bytes are hashed as one number, those of LONG bytes or more by digest.
+SHORT, LONG = 8, 64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,26 +47,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n; kept and grown as longer inputs come."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        rows = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            rows.append(np.multiply.accumulate(steps))
-        have = _POWERS[base] = (rows[0], rows[1])
-    return have
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end].
 
-
-def _spans(values: np.ndarray, base: int):
-    """A function (start, end) -> hash of values[start:end], for arrays of starts and ends."""
-    up, down = _powers(base, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return lambda s, e: (sums[e] - sums[s]) * down[s]
+    Words under SHORT bytes all differ in it, as bytes and length fit into the number. Those under LONG
+    go 8 bytes at a time through two chains of mix(), which end as one number. Longer ones have the
+    first 64 bits of a digest. Nothing in it is linear, so two words agree by chance alone.
+    """
+    size = end - start
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next 8 bytes, or as many as are left."""
+        return lanes[at] & ~np.uint64(0) >> np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)
+
+    out = np.zeros(len(size), np.uint64)
+    short = np.flatnonzero(size < SHORT)
+    out[short] = mix(lane(start[short], size[short]) | size[short].astype(np.uint64) << np.uint64(56))
+    rest = np.flatnonzero((size >= SHORT) & (size < LONG))
+    at, left = start[rest], size[rest]
+    a, b = (mix(left.astype(np.uint64) ^ c) for c in (_CHAIN_A, _CHAIN_B))
+    while len(rest):
+        x = lane(at, left)
+        a, b = mix(a ^ x), mix((b + x) * (_STEP_B | np.uint64(1)))
+        at, left = at + 8, left - 8
+        out[rest[left <= 0]] = mix(a * _SPAN + b)[left <= 0]
+        more = left > 0
+        rest, at, left, a, b = rest[more], at[more], left[more], a[more], b[more]
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -90,17 +102,36 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return mix(_spans(_BYTE[self.data], _BASE_W)(self.start, self.end))
+        return word_hashes(self.data, self.start, self.end)
 
     def owner(self) -> np.ndarray:
         """Of each word, the number of its text."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.count)
 
 
-def gram_hasher(word_hashes: np.ndarray):
-    """A function (start, end) -> hash of the word sequence [start, end)."""
-    spans = _spans(word_hashes, _BASE_G)
-    return lambda s, e: mix(spans(s, e) + np.asarray(e - s).astype(np.uint64))
+def gram_hasher(hashes: np.ndarray):
+    """A function (start, end) -> hash of the word sequence [start, end), given the words' hashes.
+
+    Sequences of 1, 2, 4, ... words are hashed from two of half the length; any other is hashed from
+    the longest such at its start and at its end, which overlap, and its length. Only the sequences
+    of one length are held at a time.
+    """
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        start, size = np.asarray(start), np.asarray(end) - start
+        out = np.zeros(len(size), np.uint64)
+        level, width, longest = hashes, 1, int(size.max(initial=0))
+        while width <= longest:
+            here = np.flatnonzero((size >= width) & (size < 2 * width))
+            if len(here):
+                s, n = start[here], size[here]
+                out[here] = mix(mix(level[s] + n.astype(np.uint64)) * _SPAN + level[s + n - width])
+            if 2 * width <= longest:
+                level = mix(mix(level[:-width]) * _PAIR + level[width:])
+            width *= 2
+        return out
+
+    return of
 
 
 def text_chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:

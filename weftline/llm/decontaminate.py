@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, _BASE_W, _BYTE, _constants, _spans, arrow_batch, gram_hasher, materialise, mix, signed, text_chunks, text_key, workspace
+from .common import LOWER, _constants, arrow_batch, gram_hasher, materialise, signed, text_chunks, text_key, word_hashes, workspace
 
 WINDOW = 5
 #: Words of a window that must not be placeholders.
@@ -64,7 +64,7 @@ _WINDOW_ARROW = pa.schema([("item_id", pa.int64()), ("view", pa.int32()), ("at",
 
 
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(_spans(_BYTE[LOWER[data]], _BASE_W)(start, end))
+    return word_hashes(LOWER[data], start, end)
 
 
 def _lower_table() -> np.ndarray:
