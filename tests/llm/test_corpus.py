@@ -51,6 +51,34 @@ def test_hashes_tell_sequences_apart():
     assert g(np.array([0]), np.array([2])) != g(np.array([1]), np.array([3]))
 
 
+def twins(n=1024):
+    """Two words, or lists of words, that hashes by polynomials modulo 2**64 can't tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_have_no_known_twins():
+    import pyarrow as pa
+
+    texts = [" ".join(twins(n)) for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 1024, 4096)] + ["c\0 c \0c \0\0 \0\0\0 " + "\0" * 8 + " " + "\0" * 9]
+    for _, _, words in text_chunks(pa.array(texts)):
+        got = words.hashes()
+        assert len(set(got.tolist())) == len(got)
+    a, b = (np.array([ord(c) for c in x], np.uint64) for x in twins(4096))
+    both = gram_hasher(np.concatenate([a, b]))(np.array([0, 4096]), np.array([4096, 8192]))
+    assert both[0] != both[1]
+
+
+def test_grams_of_any_length():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 3, 300).astype(np.uint64)
+    start = rng.integers(0, 200, 3000)
+    end = start + rng.integers(0, 100, 3000)
+    got = gram_hasher(words)(start, end)
+    spelled = [bytes(words[a:b].astype(np.uint8)) for a, b in zip(start, end)]
+    assert len(set(got.tolist())) == len(set(spelled)) == len(set(zip(got.tolist(), spelled)))
+
+
 def test_ascii_lower_is_injective_otherwise(spark):
     texts = ["É", "é", "A", "a", "Ã©", "ã©", "ß", "ẞ", "Ä1", "ä1", "×", "÷", "日", "İ", "I"]
     got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_lower(F.col("t")).alias("x")).collect()}
@@ -124,6 +152,13 @@ def test_substrings_of_one_word(spark):
     assert got == removed_words(texts)
 
 
+def test_substrings_of_twins(spark):
+    one, two = twins()
+    texts = [(1, f"{one} " * 60), (2, f"{two} " * 60), (3, " ".join([one, two] * 40)), (4, " ".join([two, one] * 40))]
+    got = by_id(substring_dedup.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string")), "n_words", "n_removed", "kept_sha256")
+    assert got == removed_words(texts) and [got[i][1] for i in (1, 2, 3)] == [0, 0, 0]
+
+
 # ------------------------------------------------------------------ 3
 def shingles(text, k):
     w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
@@ -169,6 +204,52 @@ def test_near_duplicates_over_shared_passages(spark):
     assert got == components_of(texts)
 
 
+def test_near_duplicates_of_twins(spark):
+    one, two = twins()
+    texts = [(1, " ".join([one, *(f"{one}{i}" for i in range(20))])), (2, " ".join([two, *(f"{two}{i}" for i in range(20))]))]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "n_shingles", "component_id", "kept")
+    assert got == components_of(texts) and got[2][2]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 against all pairs, and many variants of one text, among them one center of hundreds."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(200):
+        words = [f"w{i}x{j}" for j in range(124)]
+        texts.append((2 * i, " ".join(words)))
+        for j in rng.choice(3, 1 + i % 2 + (i % 3 > 0), replace=False):
+            words[12 + 40 * int(j)] = "other"  # one to three of 120 shingles' places, five shingles each
+        texts.append((2 * i + 1, " ".join(words)))
+    base = [f"b{j}" for j in range(200)]
+    for i in range(260):
+        words = list(base)
+        for j in rng.choice(200, rng.integers(1, 4), replace=False):
+            words[j] = f"n{i}x{j}"
+        texts.append((1000 + i, " ".join(words)))
+    want, got = components_of(texts), by_id(near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "n_shingles", "component_id", "kept")
+    linked = [d for d in want if want[d][1] != d]
+    assert len(linked) > 300
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+    assert all(got[d][1] == d for d in want if want[d][1] == d)
+
+
+def test_pivots_find_what_a_group_holds(spark, monkeypatch):
+    """A group far larger than the number of pivots, in which only neighbours are similar."""
+    monkeypatch.setattr(near_dedup, "PIVOTS", 8)
+    shared = [f"s{j}" for j in range(40)]
+    texts = []
+    for i in range(24):
+        own = [f"o{i // 2}x{j}" for j in range(60)]
+        own[30] = f"z{i}"
+        texts.append((i, " ".join(shared + own)))
+    sets = {i: sorted({hash(g) for g in shingles(t, 5)}) for i, t in texts}
+    frame = spark.createDataFrame([(i, s) for i, s in sets.items()], "node long, shingles array<long>")
+    members = spark.createDataFrame([(1, i, len(s)) for i, s in sets.items()], "key long, node long, n long")
+    got = {r.node: r.comp for r in near_dedup.linked(members, frame, 80, 1, workspace(spark, "t")).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+
+
 def test_prefixes_find_all_similar_pairs(spark, tmp_path):
     rng = np.random.default_rng(3)
     sets = []

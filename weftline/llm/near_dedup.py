@@ -10,8 +10,8 @@ shares u_i and shares v_j, so single hashes are counted first, and only shared o
 Texts with equal shingle sets are one node. No pairs within a group are listed: in each round every
 group names one center, and its members in other components are compared with it on their full
 sets; links join components. What is still apart after the rounds is grouped anew by rare shingles,
-exactly (see prefix_keys), and compared with centers and then across components, so that no link
-between two texts of one table key is missed.
+exactly (see prefix_keys), and compared with centers and then across components, a bounded number
+of members at a time, so that no link between two texts of one table key is missed.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ PERCENT = 80
 M = 14
 ROWS = 3
 ROUNDS = 1
+#: Rows of a group that are compared with all its others at a time.
+PIVOTS = 64
 
 SIGNED_SCHEMA = "doc_id long, tk long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>"
 _LONGS = pa.list_(pa.int64())
@@ -118,11 +120,24 @@ def table_keys(nodes: DataFrame, path: str) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, ok: whether 100 * intersection >= percent * union of the full sets."""
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    joined = joined.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.withColumn("both", both).select("a", "b", (100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok"))
+    """a, b, ok: whether 100 * intersection >= percent * union of the full sets of x and y.
+
+    ``pairs`` has each pair (a, b) once, with x and y as its ends in any order. A y of many pairs is
+    dealt over several tasks, its set going to each; the keys for that are fewer than 1000.
+    """
+    total = pairs.count()
+    share = max(100, total // 1000)
+    busy = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > share)
+    busy = F.broadcast(busy.select("y", F.ceil(F.col("times") / share).cast("long").alias("parts")))
+
+    def dealt(rows: DataFrame, part) -> DataFrame:
+        return rows.join(busy, "y", "left").withColumn("part", part(F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+
+    left = dealt(pairs, lambda n: F.pmod(F.xxhash64("x"), n)).join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x")
+    right = dealt(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    both = F.size(F.array_intersect("sx", "sy")).cast("long")
+    judged = left.join(right, ["y", "part"]).withColumn("both", both)
+    return judged.select("a", "b", (100 * F.col("both") >= percent * (F.size("sx") + F.size("sy") - F.col("both"))).alias("ok"))
 
 
 def _can(na: Column, nb: Column, percent: int) -> Column:
@@ -146,8 +161,10 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         near = join_split(both, labels, ["a"], "degree", total).groupBy("b").agg(F.min("comp").alias("least"))
         joined = labels.join(near, labels.a == near.b).select("a", "degree", "comp", F.least("comp", "least").alias("next"))
         up = labels.select(F.col("a").alias("next"), F.col("comp").alias("up"))
-        # a label that many nodes have is one node; AQE splits its side of this join
-        moved = joined.join(up, "next").select("a", "degree", F.least("next", "up").alias("comp"), (F.col("comp") != F.least("next", "up")).alias("moved"))
+        joined = materialise(joined, f"{path}/least-{step}")
+        # a label that many nodes have is one node
+        named = up.join(joined.groupBy("next").agg(F.count(F.lit(1)).alias("having")), "next")
+        moved = join_split(joined, named, ["next"], "having", joined.count()).select("a", "degree", F.least("next", "up").alias("comp"), (F.col("comp") != F.least("next", "up")).alias("moved"))
         moved = materialise(moved, f"{path}/labels-{step}")
         labels = moved.drop("moved")
         if not moved.filter("moved").limit(1).count():
@@ -197,25 +214,40 @@ class _Links:
         other = (F.col("comp") != F.col("center.comp")) & _can(F.col("n"), F.col("center.n"), self.percent)
         return apart.filter(other).select(F.col("node").alias("x"), F.col("center.node").alias("y"))
 
-    def across(self, apart: DataFrame) -> DataFrame:
-        """The pairs in different components whose places (see prefix_keys) leave room for similarity.
+    def _fits(self, pairs: DataFrame) -> DataFrame:
+        """x, y of the ``pairs`` in different components whose places (see prefix_keys) leave room for similarity.
 
         The overlap has to be percent / (100 + percent) of both sizes together. The smaller set of a
         pair so has a common shingle among fewer of its first ones still, and after the first common
         one, at places p and q, at most min(n - p, m - q) can be common.
         """
-        percent = self.percent
-        short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
-        small = apart.filter(F.col("place") < short).select("key", F.col("node").alias("x"), "n", "comp", F.col("place").alias("p"))
-        other = apart.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("place").alias("q"))
-        ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y")))
-        room = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-        return small.join(other, "key").filter(ordered & (F.col("comp") != F.col("other")) & _can(F.col("n"), F.col("m"), percent) & room).select("x", "y")
+        percent, n, m, p, q = self.percent, F.col("n"), F.col("m"), F.col("place"), F.col("q")
+        small = (n < m) | ((n == m) & (F.col("x") < F.col("y")))
+        least, at = F.when(small, n).otherwise(m), F.when(small, p).otherwise(q)
+        early = at < least - F.ceil(F.lit(2 * percent) * least / (100 + percent)) + 1
+        room = F.least(n - p, m - q) * (100 + percent) >= percent * (n + m)
+        return pairs.filter((F.col("x") != F.col("y")) & (F.col("comp") != F.col("other")) & _can(n, m, percent) & early & room).select("x", "y")
+
+    def across(self, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs to compare, rows still to be dealt with) of groups in several components.
+
+        Groups of up to PIVOTS rows are compared within. Of larger ones some PIVOTS rows are compared
+        with all others and then leave the group, so a turn makes at most about PIVOTS pairs a row.
+        """
+        rows = apart.withColumnRenamed("node", "x").drop("center")
+        mate = F.struct(F.col("x").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("place").alias("q"))
+        few = F.col("times") <= PIVOTS
+        pivot = few | (F.pmod(F.xxhash64(F.lit(self.turn), "key", "x"), F.col("times")) < PIVOTS)
+        mates = rows.filter(pivot).groupBy("key", "times").agg(F.collect_list(mate).alias("mates"))
+        total = rows.count()
+        pairs = join_split(rows.drop("times"), mates, ["key"], "times", total).select("x", "n", "comp", "place", F.inline("mates"))
+        return self._fits(pairs), rows.filter(~pivot).select("key", F.col("x").alias("node"), "n", "place")
 
     def judge(self, pairs: DataFrame) -> None:
         """Compares full sets and joins the components of the similar."""
         path, comps = self.path, self.comps
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(self.tested, ["a", "b"], "left_anti")
+        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("y").alias("y")).join(self.tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs.withColumn("x", F.when(F.col("y") == F.col("a"), F.col("b")).otherwise(F.col("a"))), f"{path}/pairs-{self.turn}")
         judged = materialise(similar(pairs, self.sets, self.percent), f"{path}/judged-{self.turn}")
         release(pairs.sparkSession)
         links = judged.filter("ok").select("a", "b")
@@ -240,7 +272,7 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int, path:
 
     ``rounds`` comparisons with centers settle what is near. Of what is still apart, the groups are
     formed anew by prefix_keys(), which parts texts that only share passages, and compared with
-    centers once more; then across components.
+    centers once more; then across components, turn by turn until no group has rows left.
     """
     state = _Links(members, sets, percent, path)
     for _ in range(rounds):
@@ -253,12 +285,13 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int, path:
     if apart is None:
         return state.comps
     members = prefix_keys(apart.select("node"), sets, percent, path)
-    for pairs in (state.to_centers, state.across):
-        apart = state.apart(members)
-        if apart is None:
-            break
-        state.judge(pairs(apart))
+    apart = state.apart(members)
+    if apart is not None:
+        state.judge(state.to_centers(apart))
         members = apart.select(*members.columns)
+    while apart is not None and (apart := state.apart(members)) is not None:
+        pairs, members = state.across(apart)
+        state.judge(pairs)
     return state.comps
 
 
