@@ -31,7 +31,7 @@ M = 14
 ROWS = 3
 ROUNDS = 1
 #: Rows of a group that are compared with all its others at a time.
-PIVOTS = 64
+PIVOTS = 256
 
 SIGNED_SCHEMA = "doc_id long, tk long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>"
 _LONGS = pa.list_(pa.int64())
@@ -155,7 +155,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     both = materialise(both, f"{path}/both")
     total = both.count()
     labels = materialise(both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.least("a", F.min("b")).alias("comp")), f"{path}/labels-0")
-    step = 0
+    step, nodes = 0, labels.count()
     while True:
         step += 1
         near = join_split(both, labels, ["a"], "degree", total).groupBy("b").agg(F.min("comp").alias("least"))
@@ -164,7 +164,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         joined = materialise(joined, f"{path}/least-{step}")
         # a label that many nodes have is one node
         named = up.join(joined.groupBy("next").agg(F.count(F.lit(1)).alias("having")), "next")
-        moved = join_split(joined, named, ["next"], "having", joined.count()).select("a", "degree", F.least("next", "up").alias("comp"), (F.col("comp") != F.least("next", "up")).alias("moved"))
+        moved = join_split(joined, named, ["next"], "having", nodes).select("a", "degree", F.least("next", "up").alias("comp"), (F.col("comp") != F.least("next", "up")).alias("moved"))
         moved = materialise(moved, f"{path}/labels-{step}")
         labels = moved.drop("moved")
         if not moved.filter("moved").limit(1).count():
