@@ -1,10 +1,14 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-What has been seen is kept as sorted runs: tables of (h1, h2, n_docs, max_doc), bucketed and sorted
-by the line hash (h1, h2). A new batch is merge-joined to the runs without shuffling them, which
-tells its new lines (anti-join) from known ones, and then adds a run of its own at level 0. When a
-level holds ``fanout`` runs they are merged into one run of the next level. Only DataFrame
-functions are used.
+What has been seen is kept as sorted runs: tables of (h1, h2, n_docs), bucketed and sorted by the
+line hash (h1, h2). A new batch is merge-joined to the runs without shuffling them, which tells its
+new lines (anti-join) from known ones, and then adds a run of its own at level 0. When a level holds
+``fanout`` runs they are merged into one run of the next level.
+
+Batches come in falling order of doc_id. So a line that some run knows has a larger holder, and goes
+if it is common; a line that no run knows keeps its largest holder in the batch. What is common by
+the counts of the runs and the batch is decided with the batch. Lines that could still become common
+wait, and are the only ones that are looked up again in the end. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -51,8 +55,8 @@ def line_keys(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
 
 
 def key_counts(keys: DataFrame) -> DataFrame:
-    """h1, h2, n_docs, max_doc; summed in each task before the shuffle."""
-    return keys.groupBy(*HASH).agg(F.sum("first").cast("long").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    """h1, h2, n_docs, n_lines, max_doc; summed in each task before the shuffle."""
+    return keys.groupBy(*HASH).agg(F.sum("first").cast("long").alias("n_docs"), F.count(F.lit(1)).alias("n_lines"), F.max("doc_id").alias("max_doc"))
 
 
 class LineRuns:
@@ -65,10 +69,14 @@ class LineRuns:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"weft_run_{uuid.uuid4().hex[:16]}"
-        rows = rows.select(*HASH, "n_docs", "max_doc").repartition(self.buckets, *HASH)
+        rows = rows.select(*HASH, "n_docs").repartition(self.buckets, *HASH)
         rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, f"{self.path}/{name}")
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
@@ -78,18 +86,26 @@ class LineRuns:
             keys = keys.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
         return keys
 
+    def seen(self, keys: DataFrame) -> DataFrame:
+        """``keys`` with before: the number of documents that the runs count for each, 0 for new ones."""
+        keys = keys.withColumn("before", F.lit(0).cast("long"))
+        for run in self.runs():
+            # a run has a row per hash; no union of runs, as a grouping above it would trust the buckets too far
+            keys = keys.join(run.select(*HASH, F.col("n_docs").alias("more")).hint("merge"), HASH, "left").withColumn("before", F.col("before") + F.coalesce("more", F.lit(0))).drop("more")
+        return keys
+
     def add(self, counts: DataFrame) -> None:
-        """Adds a batch's counts as a run. Only a line that no run knows brings its max_doc.
-
-        Batches come in falling order of doc_id, so the first run that knows a line has its largest.
-        """
-        known = self.runs()
-        if known:
-            fresh = self.unseen(counts)
-            counts = counts.join(fresh.select(*HASH, F.lit(True).alias("fresh")), HASH, "left").withColumn("max_doc", F.when(F.col("fresh"), F.col("max_doc")))
+        """Adds a batch's counts as a run."""
         self.levels[0].append(self._write(counts))
         self.compact()
 
+    def clear(self) -> None:
+        """Drops all runs, with their files."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        self.levels = [[]]
+
     def compact(self, everything: bool = False) -> None:
         level = 0
         while level < len(self.levels):
@@ -97,8 +113,7 @@ class LineRuns:
             if len(names) >= (2 if everything else self.fanout):
                 merged = self._write(self._merged(names))
                 for name in names:
-                    self.spark.sql(f"DROP TABLE {name}")
-                    delete_path(self.spark, f"{self.path}/{name}")
+                    self._drop(name)
                 if everything:
                     self.levels = [[] for _ in self.levels] + [[merged]]
                     return
@@ -109,12 +124,12 @@ class LineRuns:
             level += 1
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """Merges sorted runs pairwise. No union: a grouping above it would trust the buckets too far."""
+        """Merges sorted runs pairwise."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            other = self.spark.table(name).select(*HASH, F.col("n_docs").alias("n"), F.col("max_doc").alias("m"))
+            other = self.spark.table(name).select(*HASH, F.col("n_docs").alias("n"))
             n_docs = F.coalesce(F.col("n_docs"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))
-            rows = rows.join(other.hint("merge"), HASH, "full").select(*HASH, n_docs.alias("n_docs"), F.greatest("max_doc", "m").alias("max_doc"))
+            rows = rows.join(other.hint("merge"), HASH, "full").select(*HASH, n_docs.alias("n_docs"))
         return rows
 
     def totals(self) -> DataFrame:
@@ -131,44 +146,67 @@ def novel_lines(docs: DataFrame, runs: LineRuns) -> DataFrame:
     return out
 
 
+def _ranges(keys: DataFrame, batches: int) -> list:
+    """Conditions that deal the ``keys`` with a doc_id into batches of falling doc_id."""
+    cuts = keys.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []), reverse=True)
+    out = []
+    for upper, lower in zip([None, *cuts], [*cuts, None]):
+        here = F.col("doc_id").isNotNull()
+        here = here if upper is None else here & (F.col("doc_id") < upper)
+        out.append(here if lower is None else here & (F.col("doc_id") >= lower))
+    return out
+
+
+def lost_lines(keys: DataFrame, runs: LineRuns, min_docs: int, batches: int, path: str) -> DataFrame:
+    """doc_id, tk, pos of the lines of ``keys`` that go."""
+    lost = None
+    spot = ["doc_id", "tk", "pos"]
+    for i, here in enumerate(_ranges(keys, batches)):
+        batch = keys.filter(here)
+        counts = materialise(key_counts(batch), f"{path}/counts-{i}")
+        if not counts.limit(1).count():
+            continue
+        # a new line keeps its largest holder here; a known one has a larger holder in some run
+        new = runs.unseen(counts).filter(F.col("n_lines") > 1).select(*HASH, "n_lines", F.col("n_docs").alias("so_far"), F.col("max_doc").alias("keeper"))
+        known = runs.seen(counts).filter(F.col("before") > 0).select(*HASH, "n_lines", (F.col("before") + F.col("n_docs")).alias("so_far"), F.lit(None).cast("long").alias("keeper"))
+        judged = materialise(new, f"{path}/new-{i}").unionByName(materialise(known, f"{path}/known-{i}"))
+        total = judged.agg(F.sum("n_lines")).first()[0] or 0
+        rows = join_split(batch.select(*spot, *HASH), judged, HASH, "n_lines", total).filter(F.col("keeper").isNull() | (F.col("doc_id") < F.col("keeper")))
+        rows = materialise(rows.select(*spot, *HASH, (F.col("so_far") >= min_docs).alias("common")), f"{path}/judged-{i}")
+        lost = rows if lost is None else lost.unionByName(rows)
+        runs.add(counts)
+    runs.add(key_counts(keys.filter(F.col("doc_id").isNull())))  # they lose nothing, but count
+    if lost is None:
+        return keys.select(*spot).limit(0)
+    waiting = lost.filter(~F.col("common")).select(*spot, *HASH)
+    still = materialise(waiting.groupBy(*HASH).agg(F.count(F.lit(1)).alias("rows")), f"{path}/waiting")
+    late = materialise(runs.seen(still).filter(F.col("before") >= min_docs).select(*HASH, "rows"), f"{path}/late")
+    total = still.agg(F.sum("rows")).first()[0] or 0
+    return lost.filter("common").select(*spot).unionByName(join_split(waiting, late, HASH, "rows", total).select(*spot))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, min_points: int = MIN_POINTS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept, kept_sha256 of each row.
 
     A line's key is the line without spaces around it and A-Z lower-cased. Keys of ``min_points``
     code points or more that ``min_docs`` documents hold go, but for the largest doc_id that holds
-    them. A null or empty text is one empty line. Rows that share a doc_id count as documents of
-    their own; a null doc_id counts as a document but never loses a line. An empty table gives no
-    rows. Other columns of ``docs`` are not read.
+    them, which keeps all its lines of that key. A null or empty text is one empty line. Rows that
+    share a doc_id count as documents of their own, and if it is the largest all of them keep the
+    line; a null doc_id counts as a document but never loses a line. Texts are split whole, however
+    long. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     path = workspace(spark, "lines")
     keys = materialise(line_keys(docs, min_points), f"{path}/keys")
-    cuts = keys.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     runs = LineRuns(spark, path)
-    upper = None
-    for cut in [*sorted(set(cuts), reverse=True), None]:
-        batch = keys
-        if upper is not None:
-            batch = batch.filter(F.col("doc_id") < upper)
-        else:
-            batch = batch if cut is None else batch.filter(F.col("doc_id").isNotNull())
-        if cut is not None:
-            batch = batch.filter(F.col("doc_id") >= cut)
-        elif upper is not None:
-            batch = keys.filter(F.col("doc_id").isNull() | (F.col("doc_id") < upper))
-        runs.add(key_counts(batch))
-        upper = cut
-    totals = runs.totals()
-    total = totals.agg(F.sum("n_docs")).first()[0] or 0
-    common = totals.filter(F.col("n_docs") >= min_docs)
-    lost = (
-        join_split(keys.select("doc_id", "tk", "pos", *HASH), common, HASH, "n_docs", total)
-        .filter(F.col("doc_id") < F.col("max_doc"))
-        .groupBy("doc_id", "tk")
-        .agg(F.sort_array(F.collect_set("pos")).alias("lost"))
-    )
-    rows = docs.withColumn("tk", text_key(F.col("text"))).join(lost, ["doc_id", "tk"], "left")
+    lost = lost_lines(keys, runs, min_docs, batches, path)
+    lost = materialise(lost.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("pos")).alias("lost")), f"{path}/lost")
+    runs.clear()
+    rows = docs.withColumn("tk", text_key(F.col("text")))
+    # null doc_ids lose nothing, so they need no join
+    rows = rows.filter(F.col("doc_id").isNotNull()).join(lost, ["doc_id", "tk"], "left").unionByName(rows.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
     def kept(ls, gone):

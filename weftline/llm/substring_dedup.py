@@ -163,7 +163,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, te
     the control characters 9 to 13; kept joins the rest by one space (null unless ``texts``); spans
     are the maximal removed stretches of words. Null and empty texts have no words. Rows that share
     a doc_id are the same document: they don't repeat each other. A row with a null doc_id keeps all
-    and makes no other lose anything. An empty table gives no rows. Other columns are not read.
+    and makes no other lose anything. Of equal seed hashes in a window the last is picked, which
+    changes no result. A text is read whole, however long, by one task. An empty table gives no rows.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     path = workspace(spark, "substrings")
@@ -185,7 +187,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED, te
     )
     todo = materialise(todo, f"{path}/todo")
     release(spark)
-    rows = docs.withColumn("tk", text_key(F.col("text"))).join(todo, ["doc_id", "tk"], "left").select("doc_id", "tk", "text", "todo")
+    rows = docs.withColumn("tk", text_key(F.col("text")))
+    # null doc_ids lose nothing, so they need no join
+    rows = rows.filter(F.col("doc_id").isNotNull()).join(todo, ["doc_id", "tk"], "left").unionByName(rows.filter(F.col("doc_id").isNull()), allowMissingColumns=True).select("doc_id", "tk", "text", "todo")
     passed = materialise(rows.mapInArrow(lambda it: _first_pass(it, length, texts), PASS_SCHEMA), f"{path}/passed")
     release(spark)
     done = passed.filter(F.col("n_words").isNotNull()).drop("tk", "text", "todo")
