@@ -3,24 +3,30 @@
 Every record hashes into one of some thousands of virtual slots, for good. Bytes are summed per
 slot, and a small versioned map says which shard holds which slot. Rebalancing writes a new version
 of that map, in which few slots change place; records are never hashed anew.
+
+A record's slot depends on its doc_id, so that rows of one doc_id stay together. Rows without a
+doc_id, and those of a doc_id that has more bytes than a mean slot, are spread over all slots.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialise
+
 SLOTS = 4096
 RECORD_BYTES = 8
 MAP_SCHEMA = "version long, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 of each row. A null text has no bytes; a null doc_id has the slot of 'null'."""
+    """doc_id, size, text_crc32 of each row. A null text has no bytes."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id"),
@@ -29,10 +35,25 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Adds virtual_slot, which depends on doc_id alone."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+def slotted(docs: DataFrame, path: str, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot of each row, as a table below ``path``.
+
+    The table is written once: a row that is spread has its slot from a number of its own in it, which
+    another reading of ``docs`` need not repeat.
+    """
+    home = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(slots)).cast("int")
+    spread = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    rows = materialise(sized(docs).withColumn("spread", spread).withColumn("home", F.when(F.col("doc_id").isNotNull(), home)), f"{path}/sized")
+    by_slot = rows.groupBy("home").agg(F.sum("size").alias("b"))
+    total = by_slot.agg(F.sum("b")).first()[0] or 0
+    mean = math.ceil(total / slots)
+    # a key has to be in a slot over the mean to be over it; both are fewer than there are slots
+    full = F.broadcast(by_slot.filter(F.col("home").isNotNull() & (F.col("b") > mean)).select("home"))
+    heavy = rows.join(full, "home", "left_semi").groupBy("doc_id").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    heavy = materialise(heavy.filter((F.col("n") > 1) & (F.col("b") > mean)).select("doc_id", F.lit(True).alias("heavy")), f"{path}/heavy")
+    placed_rows = rows.join(F.broadcast(heavy), "doc_id", "left")
+    slot = F.when(F.col("home").isNull() | F.col("heavy"), F.col("spread")).otherwise(F.col("home"))
+    return placed_rows.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -51,11 +72,12 @@ def packed(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, int]:
     return out
 
 
-def rebalanced(current: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.01) -> dict[int, int]:
+def rebalanced(current: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.001) -> dict[int, int]:
     """A map for new sizes or another number of shards that moves slots only off shards over the mean.
 
     Slots of a shard that is no more are placed anew. A shard gives up slots, largest first that
-    fits, until it is within ``slack`` of the mean; what was given up is packed greedily.
+    fits, until it is within ``slack`` of the mean; what was given up is packed greedily. Then, while
+    it evens them out, a slot goes from the fullest shard to the lightest. Ties go by number.
     """
     mean = sum(sizes.values()) / max(1, shards)
     held: dict[int, list[int]] = {s: [] for s in range(shards)}
@@ -64,22 +86,31 @@ def rebalanced(current: dict[int, int], sizes: dict[int, int], shards: int, slac
         at = current.get(slot)
         (held[at] if at is not None and at in held else loose).append(slot)
     load = {s: sum(sizes[x] for x in own) for s, own in held.items()}
-    out = {}
     for s, own in held.items():
         for slot in sorted(own, key=lambda x: (-sizes[x], x)):
-            over = load[s] - mean * (1 + slack)
-            if over > 0 and sizes[slot] <= load[s] - mean * (1 - slack):
+            if load[s] > mean * (1 + slack) and sizes[slot] <= load[s] - mean * (1 - slack):
                 loose.append(slot)
+                own.remove(slot)
                 load[s] -= sizes[slot]
-            else:
-                out[slot] = s
     heap = [(load[s], s) for s in range(shards)]
     heapq.heapify(heap)
     for slot in sorted(loose, key=lambda x: (-sizes[x], x)):
         at, s = heapq.heappop(heap)
-        out[slot] = s
+        held[s].append(slot)
+        load[s] += sizes[slot]
         heapq.heappush(heap, (at + sizes[slot], s))
-    return out
+    for _ in range(len(sizes)):
+        full, light = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
+        gap = load[full] - load[light]
+        fits = [x for x in held[full] if 0 < sizes[x] < gap]
+        if gap <= slack * mean or not fits:
+            break
+        slot = min(fits, key=lambda x: (abs(2 * sizes[x] - gap), x))
+        held[full].remove(slot)
+        held[light].append(slot)
+        load[full] -= sizes[slot]
+        load[light] += sizes[slot]
+    return {slot: s for s, own in held.items() for slot in own}
 
 
 class SlotMap:
@@ -122,14 +153,18 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, path: str, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """Every row of ``docs`` with its shard; the map is stored below ``path``.
+    """Every row of ``docs`` with its shard; the versions of the map are stored below ``path``.
 
-    The law is ``bytes``: shards have nearly the same sum of size (UTF-8 bytes plus 8). Null and
-    empty texts have size 8; repeated rows are rows of their own; an empty table gives no rows.
-    Columns of ``docs`` besides doc_id and text are not read.
+    Version 1 deals the slots evenly, whatever they hold; version 2 is that one rebalanced by the bytes
+    per slot, and decides. The law is ``bytes``: shards have nearly the same sum of size (UTF-8 bytes
+    plus 8), as far as no single row is larger than a shard. Null and empty texts have size 8; rows
+    without doc_id, and repeated rows, are rows of their own; equal rows of a shard are numbered in any
+    order. An empty table gives no rows. Columns of ``docs`` besides doc_id and text are not read.
     """
-    rows = slotted(sized(docs), slots)
-    slot_map = SlotMap(docs.sparkSession, path).create(slot_sizes(rows), shards)
-    return placed(rows, slot_map).select(
+    rows = slotted(docs, path, slots)
+    sizes = materialise(slot_sizes(rows), f"{path}/slots")
+    maps = SlotMap(docs.sparkSession, path)
+    maps.write(1, {s: s % shards for s in range(slots)}, {})
+    return placed(rows, maps.rebalance(1, sizes, shards)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
