@@ -19,6 +19,7 @@ binary search in the index, and the entry by binary search over the restarts.
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ KEY_BYTES = 13
 #: Words whose ids a worker remembers at most; beyond that it drops the longer ones.
 CACHED_WORDS = 800_000
 SHORT_WORD = 10
+#: Bytes of text that a shard has at most, in the mean.
+SHARD_BYTES = 1 << 28
 
 MANIFEST_SCHEMA = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -246,9 +249,9 @@ def usual(text: str) -> bool:
 class Encoder:
     """Texts to packed ids, with the ids of recurring words remembered.
 
-    A byte-level splitter never joins what stands on both sides of a single space (it goes with the
-    word after it) or of a single line feed (a piece of its own) between solid characters. Texts are
-    cut there, and each distinct piece is encoded by the tokenizer once. A piece is written as "\r"
+    The usual byte-level splitter never joins what stands on both sides of a single space (it goes with
+    the word after it) or of a single line feed (a piece of its own) between solid characters. Texts
+    are cut there, and each distinct piece is encoded by the tokenizer once. A piece is written as "\r"
     and the word at the start of a text, "\n" and the word at that of a line, else the word alone.
     """
 
@@ -256,6 +259,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        splitter = parts.get("pre_tokenizer") or {}
+        #: Whether the definition's splitter is the one that the class speaks of. For others texts stay whole.
+        self.cuts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True) and not parts.get("normalizer")
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         # in a byte-level vocabulary a token has one character per byte
@@ -308,7 +315,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text, with the end id."""
         out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, x in enumerate(texts) if x and usual(x)]
+        plain = [i for i, x in enumerate(texts) if x and usual(x)] if self.cuts else []
         odd = sorted({i for i, x in enumerate(texts) if x} - set(plain))
         for i, ids in zip(odd, self.plain([texts[i] for i in odd])):
             out[i] = self.pack(ids)
@@ -391,7 +398,9 @@ def write_tables(docs: DataFrame, root: str, tokenizer: str, shards: int | None
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())  # a vocabulary, whatever the corpus
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(rows.mapInArrow(lambda it: _write(it, f"{root}/tables", definition), MANIFEST_SCHEMA), f"{root}/manifest")
 
@@ -421,8 +430,8 @@ def tokenize_documents(docs: DataFrame, tokenizer: str, root: str | None = None)
     """doc_id, start, n_tokens, ids_crc32, shard of each row, read from the token tables it writes.
 
     start counts the ids of all documents before it in rising doc_id order; rows that share a doc_id
-    follow each other by text; null doc_ids come first. Null and empty texts have the end id alone.
-    An empty table writes no shard and gives no rows. Other columns are not read.
+    follow each other by text; null doc_ids come first. Rows of one doc_id, and those of none, share a
+    shard. Null and empty texts have the end id alone; a text is encoded whole, however long. An empty table writes no shard and gives no rows. Other columns are not read.
     """
     out = write_tables(docs, root or workspace(docs.sparkSession, "tokens"), tokenizer)
     release(docs.sparkSession)
