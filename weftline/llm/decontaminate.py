@@ -31,7 +31,7 @@ LITERALS = 3
 COVERAGE = 0.8
 #: Or so many words of the item in a row.
 STRETCH = 13
-#: Benchmark windows that are broadcast at once; more are joined in several passes.
+#: Benchmark windows that are broadcast at once, some 100 bytes each; more are joined in several passes.
 BLOCK = 1_000_000
 
 #: Fixed words taken for units of measure.
@@ -231,34 +231,42 @@ def _matches(batches: Iterator[pa.RecordBatch], shared, size: int, literals: int
                 yield arrow_batch(_MATCH_ARROW, [ids[row + text], keys[row + text], items[entry], np.full(len(entry), view, np.int32), places[entry], (here - t.first[text]).astype(np.int32), slots])
 
 
-def _table(part) -> dict:
+def _table(part: pa.Table) -> dict:
     """The windows of one view as arrays, sorted by hash; values and kinds of entry i lie from begin[i] to begin[i + 1]."""
-    part = part.sort_values(["win", "item_id", "at"], key=lambda c: c.astype(np.int64).to_numpy().view(np.uint64) if c.name == "win" else c)
-    win = part["win"].to_numpy(np.int64).view(np.uint64)
+    item, at, win = part["item_id"].to_numpy(), part["at"].to_numpy(), part["win"].to_numpy().view(np.uint64)
+    order = np.lexsort((at, item, win))
+    win = win[order]
     known, first = np.unique(win, return_index=True)
+    slots, kinds = (part[c].combine_chunks().take(pa.array(order)) for c in ("slots", "kinds"))
     return {
         "win": known,
         "first": np.append(first, len(win)),
-        "item": part["item_id"].to_numpy(np.int64),
-        "at": part["at"].to_numpy(np.int32),
-        "lead": np.unique(part["lead"].to_numpy(np.int64).view(np.uint64)),
-        "sizes": np.unique(part["size"].to_numpy(np.int64)),
-        "begin": np.concatenate([[0], np.cumsum([len(x) for x in part["slots"]])]).astype(np.int64),
-        "values": np.array([v for x in part["slots"] for v in x], np.int64),
-        "kinds": np.array([k for x in part["kinds"] for k in x], np.int64),
+        "item": item[order],
+        "at": at[order],
+        "lead": np.unique(part["lead"].to_numpy().view(np.uint64)),
+        "sizes": np.unique(part["size"].to_numpy()).astype(np.int64),
+        "begin": np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
+        "values": slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+        "kinds": kinds.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
     }
 
 
 def matches(docs: DataFrame, windows: DataFrame, block: int = BLOCK, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """The hash join of all document windows with the benchmark's, broadcast ``block`` windows at a time."""
+    """The hash join of all document windows with the benchmark's, broadcast about ``block`` windows at a time.
+
+    Each pass ends as a table, and its broadcast with it, so driver and executors hold those of one pass.
+    """
     spark = docs.sparkSession
+    path = workspace(spark, "matches")
     passes = max(1, -(-windows.count() // block))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), "text")
     out = None
     for i in range(passes):
-        part = windows.filter(F.pmod(F.xxhash64("win"), F.lit(passes)) == i).select("win", "view", "item_id", "at", "size", "lead", "slots", "kinds").toPandas()
-        shared = spark.sparkContext.broadcast({int(view): _table(p) for view, p in part.groupby("view")})
-        found = rows.mapInArrow(lambda it, shared=shared: _matches(it, shared, size, literals), MATCH_SCHEMA)
+        part = windows.filter(F.pmod(F.xxhash64("win"), F.lit(passes)) == i).select("win", "view", "item_id", "at", "size", "lead", "slots", "kinds").toArrow()
+        views = part["view"].to_numpy()
+        shared = spark.sparkContext.broadcast({int(view): _table(part.filter(pa.array(views == view))) for view in np.unique(views)})
+        found = materialise(rows.mapInArrow(lambda it, shared=shared: _matches(it, shared, size, literals), MATCH_SCHEMA), f"{path}/{i}")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -267,7 +275,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, str
     """doc_id, tk, item_id, covered of each consistent alignment that counts as a leak (the best per item)."""
     path = workspace(docs.sparkSession, "leaks")
     windows = materialise(item_windows(benchmark), f"{path}/windows")
-    found = materialise(matches(docs, windows), f"{path}/matches").withColumn("shift", F.col("place") - F.col("at"))
+    found = matches(docs, windows).withColumn("shift", F.col("place") - F.col("at"))
     groups = found.groupBy("doc_id", "tk", "item_id", "view", "shift").agg(F.sort_array(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"))
     # the longest run of neighbouring windows: places minus ranks are equal within a run
     ranks = F.transform("ats", lambda a, i: a - i)
@@ -284,8 +292,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     item_ids lists the items found, in rising order; covered is the largest share of an item's
     windows, of templates or of plain words. Null and empty texts contain nothing; a row with a null doc_id is judged like others;
-    rows that share a doc_id are judged one by one. An empty benchmark marks nothing; an empty table
-    gives no rows. Other columns are not read.
+    rows that share a doc_id are judged one by one. A text is read whole, however long. Of alignments of
+    one item that tie in what they cover, which are one result, it doesn't matter which is meant. An empty
+    benchmark marks nothing; an empty table gives no rows. Other columns are not read.
     """
     found = leaks(docs, benchmark).groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("covered").alias("covered"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"))
