@@ -189,8 +189,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of each row.
 
     The strata are the values of lang (one stratum if there is no such column). Null and empty texts
-    have no words and fail the base rules. Repeated rows are judged one by one; an empty table gives
-    no rows; without labels only the base rules reject. Other columns are not read.
+    have no words and fail the base rules; a text is measured whole, however long. Of cutoffs of equal
+    gain the most lenient is wanted, and a measure equal to a cutoff is kept. Repeated rows are judged
+    one by one; an empty table gives no rows; without labels only the base rules reject. Other columns
+    are not read.
     """
     measured = measure_documents(docs)
     out = judged(measured, thresholds(measured, labels))
@@ -198,8 +200,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns and no shuffle of texts."""
-    chosen = thresholds(measure_documents(docs), labels)
+    """The rows of ``docs`` that the rules keep, with all their columns and no shuffle of texts.
+
+    The rows are written once together with their measures, which are read again for the verdict. Odd
+    rows are judged as in apply_rules().
+    """
     named = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], stratum_of(docs).alias("stratum"), measures(F.col("text")).alias("m"))
-    return judged(rows, chosen).filter("kept").select(*[F.col(n).alias(c) for c, n in named.items()])
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], "doc_id", stratum_of(docs).alias("stratum"), measures(F.col("text")).alias("m"))
+    rows = materialise(rows, f"{workspace(docs.sparkSession, 'rules')}/measured")
+    return judged(rows, thresholds(rows, labels)).filter("kept").select(*[F.col(n).alias(c) for c, n in named.items()])
