@@ -42,7 +42,7 @@ def test_every_query_has_sql():
 
 
 def test_targets_are_all_lines(spark, duck):
-    """The whole-table graph queries against plain Python, with every line as target."""
+    """The graph queries against plain Python, with every line as target."""
     parents = {}
     for p, c in duck.sql(queries.EDGES).fetchall():
         parents.setdefault(c, set()).add(p)
@@ -56,8 +56,8 @@ def test_targets_are_all_lines(spark, duck):
     down = {"r:0"}
     for kind in ("n:", "c:", "s:", "o:", "l:"):
         down |= {c for c, ps in parents.items() if c.startswith(kind) and ps & down}
-    got = {name: queries.QUERIES[name](spark, SF).collect() for name in ("all_ancestors", "all_build_dag", "all_dag_dependents", "all_param_subgraph")}
-    assert sorted(r.n for r in got["all_ancestors"]) == sorted(up - lines)
-    assert {(r.n, r.pending) for r in got["all_build_dag"]} == {(n, len(parents.get(n, ()))) for n in up}
-    assert sorted(r.n for r in got["all_dag_dependents"]) == sorted(n for n in up if "n:0" in parents.get(n, ()))
-    assert sorted(r.n for r in got["all_param_subgraph"]) == sorted(up & down)
+    got = {name: queries.QUERIES[name](spark, SF).collect() for name in ("ancestors", "build_dag", "dag_dependents", "param_subgraph")}
+    assert sorted(r.n for r in got["ancestors"]) == sorted(up - lines)
+    assert {(r.n, r.pending) for r in got["build_dag"]} == {(n, len(parents.get(n, ()))) for n in up}
+    assert sorted(r.n for r in got["dag_dependents"]) == sorted(n for n in up if "n:0" in parents.get(n, ()))
+    assert sorted(r.n for r in got["param_subgraph"]) == sorted(up & down)

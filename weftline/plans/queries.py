@@ -378,15 +378,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         node = F.concat_ws(":", F.lit(child[0]), *(F.col(c) for c in child[1:]))
         return table(spark, sf_dir, name).select(F.concat_ws(":", F.lit(parent[0]), F.col(parent[1])).alias("parent"), node.alias("child"))
 
-    line = ("l", "l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
+    needs = F.array(*[F.concat_ws(":", F.lit(kind), F.col(c)) for kind, c in (("o", "l_orderkey"), ("s", "l_suppkey"), ("p", "l_partkey"))])
+    line = F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber")
     out = pairs("nation", ("r", "n_regionkey"), "n", "n_nationkey")
     for part in (
         pairs("customer", ("n", "c_nationkey"), "c", "c_custkey"),
         pairs("supplier", ("n", "s_nationkey"), "s", "s_suppkey"),
         pairs("orders", ("c", "o_custkey"), "o", "o_orderkey"),
-        pairs("lineitem", ("o", "l_orderkey"), *line).distinct(),
-        pairs("lineitem", ("s", "l_suppkey"), *line).distinct(),
-        pairs("lineitem", ("p", "l_partkey"), *line).distinct(),
+        lines.select(F.explode(needs).alias("parent"), line.alias("child")).distinct(),
     ):
         out = out.unionByName(part)
     return out
@@ -396,17 +396,11 @@ def nodes(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "n string")
 
 
-def _lines_of(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") <= last)
-    return rows.select(F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber").alias("n")).distinct()
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber").alias("n")).distinct()
 
 
-_LINES = "SELECT DISTINCT 'l:'||l_orderkey||':'||l_linenumber AS n FROM lineitem WHERE l_orderkey <= {}"
-_ALL_LINES = "SELECT DISTINCT 'l:'||l_orderkey||':'||l_linenumber AS n FROM lineitem"
+_LINES = "SELECT DISTINCT 'l:'||l_orderkey||':'||l_linenumber AS n FROM lineitem"
 _UP = "a(n) AS ({start} UNION SELECT e.p FROM e JOIN a ON e.c = a.n)"
 _DOWN = "d(n) AS ({start} UNION SELECT e.c FROM e JOIN d ON e.p = d.n)"
 _LEVELS = "lv(n, level) AS ({start} UNION SELECT e.c, level + 1 FROM e JOIN lv ON e.p = lv.n)"
@@ -417,9 +411,9 @@ def op_edges(spark, sf_dir):
     return edges(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES.format(50))} SELECT n FROM a WHERE NOT starts_with(n, 'l:')")
+@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES)} SELECT n FROM a WHERE NOT starts_with(n, 'l:')")
 def ancestors(spark, sf_dir):
-    return graph.ancestors(edges(spark, sf_dir), _lines_of(spark, sf_dir, 50))
+    return graph.ancestors(edges(spark, sf_dir), _lines(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), {_DOWN.format(start=chr(39).join(['SELECT ', 'n:0', '']))} SELECT n FROM d WHERE n <> 'n:0'")
@@ -437,12 +431,12 @@ def nearest_op(spark, sf_dir):
 
 @query(
     f"""
-WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES.format(50))}, k AS (SELECT c, count(DISTINCT p) AS m FROM e GROUP BY c)
+WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES)}, k AS (SELECT c, count(DISTINCT p) AS m FROM e GROUP BY c)
 SELECT n, coalesce(m, 0)::BIGINT AS pending FROM a LEFT JOIN k ON k.c = a.n
 """
 )
 def build_dag(spark, sf_dir):
-    return graph.build_dag(edges(spark, sf_dir), _lines_of(spark, sf_dir, 50))
+    return graph.build_dag(edges(spark, sf_dir), _lines(spark, sf_dir))
 
 
 @query(f"SELECT c AS child, count(DISTINCT p) AS pending FROM ({EDGES}) GROUP BY c")
@@ -455,10 +449,10 @@ def dag_roots(spark, sf_dir):
     return graph.roots(edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES.format(50))} SELECT DISTINCT c AS n FROM e JOIN a ON e.c = a.n WHERE p = 'n:0'")
+@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES)} SELECT DISTINCT c AS n FROM e JOIN a ON e.c = a.n WHERE p = 'n:0'")
 def dag_dependents(spark, sf_dir):
     all_edges = edges(spark, sf_dir)
-    return graph.dag_dependents(all_edges, graph.build_dag(all_edges, _lines_of(spark, sf_dir, 50)), "n:0")
+    return graph.dag_dependents(all_edges, graph.build_dag(all_edges, _lines(spark, sf_dir)), "n:0")
 
 
 _ROOTS = "SELECT DISTINCT p AS n, 0 AS level FROM e WHERE p NOT IN (SELECT c FROM e)"
@@ -466,14 +460,12 @@ _ROOTS = "SELECT DISTINCT p AS n, 0 AS level FROM e WHERE p NOT IN (SELECT c FRO
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), {_LEVELS.format(start=_ROOTS)} SELECT n, max(level) AS level FROM lv GROUP BY n")
 def toposort_levels(spark, sf_dir):
-    all_edges = edges(spark, sf_dir)
-    return graph.levels(all_edges, graph.roots(all_edges))
+    return graph.levels(edges(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), {_LEVELS.format(start=_ROOTS)} SELECT wave, count(*) AS n_ops FROM (SELECT n, max(level) AS wave FROM lv GROUP BY n) GROUP BY wave")
 def execution_waves(spark, sf_dir):
-    all_edges = edges(spark, sf_dir)
-    return graph.levels(all_edges, graph.roots(all_edges)).groupBy(F.col("level").alias("wave")).agg(F.count(F.lit(1)).alias("n_ops"))
+    return graph.levels(edges(spark, sf_dir)).groupBy(F.col("level").alias("wave")).agg(F.count(F.lit(1)).alias("n_ops"))
 
 
 @query(f"SELECT p AS parent, c AS child FROM ({EDGES}) WHERE starts_with(p, 'n:') AND starts_with(c, 'c:') OR starts_with(p, 'r:')")
@@ -483,35 +475,8 @@ def subgraph_edges(spark, sf_dir):
     return graph.induced(all_edges, ends)
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES.format(50))}, {_DOWN.format(start=chr(39).join(['SELECT ', 'r:0', '']))} SELECT n FROM a INTERSECT SELECT n FROM d")
+@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_LINES)}, {_DOWN.format(start=chr(39).join(['SELECT ', 'r:0', '']))} SELECT n FROM a INTERSECT SELECT n FROM d")
 def param_subgraph(spark, sf_dir):
-    return graph.between(edges(spark, sf_dir), nodes(spark, "r:0"), _lines_of(spark, sf_dir, 50))
-
-
-# The four above take the lines of the first orders as their target; these take every line.
-@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)} SELECT n FROM a WHERE NOT starts_with(n, 'l:')")
-def all_ancestors(spark, sf_dir):
-    return graph.ancestors(edges(spark, sf_dir), _lines(spark, sf_dir))
-
-
-@query(
-    f"""
-WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)}, k AS (SELECT c, count(DISTINCT p) AS m FROM e GROUP BY c)
-SELECT n, coalesce(m, 0)::BIGINT AS pending FROM a LEFT JOIN k ON k.c = a.n
-"""
-)
-def all_build_dag(spark, sf_dir):
-    return graph.build_dag(edges(spark, sf_dir), _lines(spark, sf_dir))
-
-
-@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)} SELECT DISTINCT c AS n FROM e JOIN a ON e.c = a.n WHERE p = 'n:0'")
-def all_dag_dependents(spark, sf_dir):
-    all_edges = edges(spark, sf_dir)
-    return graph.dag_dependents(all_edges, graph.build_dag(all_edges, _lines(spark, sf_dir)), "n:0")
-
-
-@query(f"WITH RECURSIVE e AS ({EDGES}), {_UP.format(start=_ALL_LINES)}, {_DOWN.format(start=chr(39).join(['SELECT ', 'r:0', '']))} SELECT n FROM a INTERSECT SELECT n FROM d")
-def all_param_subgraph(spark, sf_dir):
     return graph.between(edges(spark, sf_dir), nodes(spark, "r:0"), _lines(spark, sf_dir))
 
 
