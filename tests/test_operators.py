@@ -73,6 +73,46 @@ def test_long_links(spark):
     assert {r.target for r in graph.resolve_links(links).collect()} == {"l300"}
 
 
+def test_levels_from_some_nodes(spark):
+    e = _edges(spark)
+    got = {(r.n, r.level) for r in graph.levels(e, spark.createDataFrame([("b",), ("d",)], "n string")).collect()}
+    assert got == {("b", 0), ("d", 1), ("e", 2)}
+    assert graph.levels(e, spark.createDataFrame([], "n string")).count() == 0
+    assert {(r.n, r.level) for r in graph.levels(e).collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_edges_")]
+
+
+def test_cycles_are_errors(spark):
+    looped = _edges(spark).unionByName(spark.createDataFrame([("e", "c")], "parent string, child string"))
+    with pytest.raises(ValueError):
+        graph.levels(looped)
+    assert _set(graph.descendants(looped, spark.createDataFrame([("d",)], "n string"))) == {"c", "d", "e"}
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "address string, `to` string")
+    with pytest.raises(ValueError):
+        graph.resolve_links(links)
+
+
+def test_timeouts_are_errors_of_rows(spark):
+    from weftline.operators import shell
+
+    rows = spark.createDataFrame([(0, "0"), (1, "5")], "i long, s string")
+    got = {r.i: r for r in shell.over_rows(rows, ["sleep $(cat s)", "echo done"], {"s": "s"}, ["o"], timeout=2).collect()}
+    assert got[0].error is None and got[0].stdouts[1] == b"done\n"
+    assert got[1].error.kind == "JobTimedOut" and got[1].stdouts == [] and got[1].missing == ["o"]
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    from weftline import scratch
+
+    with scratch.scoped(spark):
+        path = scratch.workspace(spark, "t")
+        assert scratch.materialise(spark.range(3), f"{path}/a").count() == 3
+        assert os.path.isdir(path[len("file://") :])
+    assert not os.path.exists(path[len("file://") :])
+
+
 def test_plans(spark):
     plans = Plans()
     h = plans.commit_sql("above", spark, "select id from range(10) where id > :least", least=7)

@@ -47,9 +47,13 @@ def truncate(text: Column, top: int = 0, bottom: int = 0, separator: str = "\n")
 
 
 def chunks(data: Column, size: int) -> Column:
-    """The value cut in blocks of ``size`` bytes; an empty value has one empty block."""
-    n = F.greatest(F.ceil(F.octet_length(data) / size), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, i * size + 1, F.lit(size)))
+    """The value cut in blocks of ``size`` bytes; an empty value has one empty block. ``data`` is evaluated once."""
+
+    def cut(whole):
+        n = F.greatest(F.ceil(F.octet_length(whole) / size), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(whole, i * size + 1, F.lit(size)))
+
+    return F.transform(F.array(data), cut)[0]
 
 
 def template(text: str, values: Mapping[str, Column]) -> Column:

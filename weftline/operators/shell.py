@@ -49,14 +49,16 @@ def run(commands: Sequence[str], inputs: Mapping[str, bytes | None], outputs: Se
         return out
 
 
-SCHEMA = "files map<string,binary>, stdouts array<binary>, stderrs array<binary>, returncodes array<int>, missing array<string>"
+SCHEMA = "files map<string,binary>, stdouts array<binary>, stderrs array<binary>, returncodes array<int>, missing array<string>, error struct<kind:string,source:string,details:string>"
+ADDED = ["files", "stdouts", "stderrs", "returncodes", "missing", "error"]
 
 
 def over_rows(df: DataFrame, commands: Sequence[str], inputs: Mapping[str, str], outputs: Sequence[str] = (), env: Mapping[str, str] | None = None, timeout: float | None = None) -> DataFrame:
     """Runs ``commands`` for each row; ``inputs`` maps file names to string or binary columns.
 
-    Adds files, stdouts, stderrs, returncodes, and missing: declared outputs that were not made. A
-    return code other than 0 is data, not an error.
+    Adds files, stdouts, stderrs, returncodes, missing: declared outputs that were not made, and error.
+    A return code other than 0 is data. A row whose commands take longer than ``timeout`` seconds has
+    nothing but the error JobTimedOut, with all outputs missing.
     """
     kept = df.schema
 
@@ -65,9 +67,12 @@ def over_rows(df: DataFrame, commands: Sequence[str], inputs: Mapping[str, str],
             rows = []
             for _, row in batch.iterrows():
                 given = {name: v.encode() if isinstance(v, str) else (None if v is None else bytes(v)) for name, v in ((n, row[c]) for n, c in inputs.items())}
-                ran = run(commands, given, outputs, env, timeout)
-                rows.append(({k: v for k, v in ran.files.items() if v is not None}, ran.stdouts, ran.stderrs, ran.returncodes, [k for k, v in ran.files.items() if v is None]))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=["files", "stdouts", "stderrs", "returncodes", "missing"])], axis=1)
+                try:
+                    ran, error = run(commands, given, outputs, env, timeout), None
+                except subprocess.TimeoutExpired as late:
+                    ran, error = Ran(dict.fromkeys(outputs)), {"kind": "JobTimedOut", "source": "shell", "details": str(late)}
+                rows.append(({k: v for k, v in ran.files.items() if v is not None}, ran.stdouts, ran.stderrs, ran.returncodes, [k for k, v in ran.files.items() if v is None], error))
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=ADDED)], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + SCHEMA
     return df.mapInPandas(each, schema)
