@@ -283,14 +283,18 @@ def test_cli_and_debug(tmp_path, capsys):
         assert capsys.readouterr().out == "HELLO"
         assert main(["--store", url, "cat", "zzzz"]) == 2
         assert main(["--store", url, "graph", up.hash]) == 0
-        assert capsys.readouterr().out.startswith("digraph G {")
+        picture = capsys.readouterr().out
+        assert picture.startswith("digraph workflow {") and picture.count("{") == picture.count("}") and picture.count("subgraph") == 2
         assert main(["--store", url, "debug", ran.hash, "-o", str(tmp_path / "d")]) == 0
         assert (tmp_path / "d/input_files/a").read_bytes() == b"hello"
         assert (tmp_path / "d/stdout0").read_bytes() == b"hello"
         assert main(["--store", url, "reset", up.hash]) == 0
         assert main(["--store", url, "wait", "-t", "0", up.hash]) == 2
-        picture = draw.export(flow, [up.hash])
-        assert len(picture.operations) == 2
+        drawn = draw.outline(flow, [up.hash])
+        assert len(drawn.steps) == 2 and (ran.stdout.hash, up.parent, "in0") in drawn.reads
+        given = [v for v in drawn.values.values() if v.owner is None]
+        assert [v.text for v in given] == ["a"] and given[0].id[:6] in draw.to_dot(drawn) and given[0].id[:6] not in draw.to_dot(drawn, given=False)
+        assert draw._short('f<x>&"') == "f&lt;x&gt;&amp;&quot;"
 
 
 def test_a_hundred_roots(flow):
@@ -325,3 +329,50 @@ def test_on_spark(spark, tmp_path):
         assert w.take(bad, strict=False).kind is w.ErrorKind.ExceptionRaised
     with w.Flow(url) as flow:  # a later session finds it computed
         assert flow.run_wave([total.parent]) == {total.parent: RunStatus.using_cached}
+
+
+def test_a_slow_step_holds_nothing_else(spark, tmp_path):
+    """What waits for quick steps runs while a slow one of the same job goes on."""
+    with w.Flow(f"file://{tmp_path}/store", spark) as flow:
+        slow = w.shell("sleep 8; date +%s.%N")
+        quick = w.shell("echo a")
+        after = w.shell("cat f; date +%s.%N", inp={"f": quick.stdout})
+        flow.execute(slow.op.hash, after.op.hash)
+        assert float(w.take(after.stdout).split()[1]) < float(w.take(slow.stdout))
+        assert not list(flow.store.keys("claims"))
+
+
+def test_two_drivers_run_a_step_once(tmp_path):
+    """Two flows over one store; the step counts its runs in a file."""
+    import threading
+
+    runs = tmp_path / "runs"
+    url = str(tmp_path / "store")
+    flows = [w.Flow(url), w.Flow(url)]
+    steps = []
+    for flow in flows:
+        with flow:
+            steps.append(w.shell(f"echo x >> {runs}; sleep 1; echo done"))
+    threads = [threading.Thread(target=flow.execute, args=(step.op.hash,)) for flow, step in zip(flows, steps)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert runs.read_text() == "x\n"
+    assert w.take(steps[1].stdout, connection=flows[1]) == b"done\n"
+
+
+def test_claims_of_gone_drivers_end(tmp_path, monkeypatch):
+    import weftline.flow as module
+
+    flow, other = w.Flow(str(tmp_path / "s")), w.Flow(str(tmp_path / "s"))
+    assert flow._claim("a" * 40) and flow._claim("a" * 40) and not other._claim("a" * 40)
+    monkeypatch.setattr(module, "LEASE", -1.0)
+    assert flow._claim("b" * 40) and other._claim("b" * 40)
+
+
+def test_failures_are_logged(caplog):
+    with w.Flow(), caplog.at_level("INFO", logger="weftline"):
+        bad = w.morph(lambda x: 1 / x, 0, name="bad", out=w.Encoding.json)
+        w.execute(bad)
+    assert "runs here: bad" in caplog.text and "ExceptionRaised" in caplog.text

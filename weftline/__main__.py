@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 
 from weftline import debug, draw
@@ -14,6 +15,7 @@ from weftline.model import Artefact, Error, Operation
 def _parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="weftline")
     out.add_argument("--store", help="folder or URL of the store (default: WEFTLINE_STORE)")
+    out.add_argument("--log", default="warning", choices=["debug", "info", "warning", "error"], help="what is said of the steps that run")
     sub = out.add_subparsers(dest="command", required=True)
     for name, text in (
         ("cat", "print values"),
@@ -37,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    logging.basicConfig(level=args.log.upper(), format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     flow = Flow(args.store)
 
     def single(prefix: str, *types: type):
@@ -79,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
             return 2
     elif args.command == "graph":
         hashes = [t.hash for t in targets]
-        print(draw.dot(draw.export(flow, hashes), hashes, args.inputs))
+        print(draw.to_dot(draw.outline(flow, hashes), args.inputs))
     elif args.command == "debug":
         for t in targets:
             debug.dump(t, args.output or t.hash[:6], connection=flow)

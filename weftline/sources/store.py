@@ -16,6 +16,7 @@ class Store(Protocol):
 
     def get(self, table: str, key: str) -> bytes | None: ...
     def put(self, table: str, key: str, data: bytes) -> None: ...
+    def add(self, table: str, key: str, data: bytes) -> bool: ...
     def drop(self, table: str, key: str) -> None: ...
     def keys(self, table: str, prefix: str = "") -> Iterator[str]: ...
 
@@ -36,6 +37,13 @@ class MemoryStore:
     def put(self, table: str, key: str, data: bytes) -> None:
         self.tables.setdefault(table, {})[key] = [data[i : i + self.block] for i in range(0, len(data), self.block)] or [b""]
 
+    def add(self, table: str, key: str, data: bytes) -> bool:
+        """put() where nothing is yet; False where something is."""
+        if key in self.tables.get(table, {}):
+            return False
+        self.put(table, key, data)
+        return True
+
     def drop(self, table: str, key: str) -> None:
         self.tables.get(table, {}).pop(key, None)
 
@@ -44,7 +52,11 @@ class MemoryStore:
 
 
 class FileStore:
-    """<root>/<table>/<first two characters of the key>/<the rest>; writes appear by one rename."""
+    """<root>/<table>/<first two characters of the key>/<the rest>; writes appear by one rename.
+
+    Where a file system copies instead of renaming, as object stores do, a reader sees the old file or
+    the new one as well, since those make a file visible when it is whole.
+    """
 
     def __init__(self, url: str):
         self.url = url
@@ -68,6 +80,26 @@ class FileStore:
             f.write(data)
         self.fs.move(draft, place)
 
+    def add(self, table: str, key: str, data: bytes) -> bool:
+        """put() where nothing is yet; False where something is.
+
+        Exact on folders of the operating system, shared ones included. Elsewhere two writers in one
+        moment may both succeed.
+        """
+        place = self._place(table, key)
+        if not isinstance(self.fs, fs.LocalFileSystem):
+            if self.get(table, key) is not None:
+                return False
+            self.put(table, key, data)
+            return self.get(table, key) == data
+        os.makedirs(place.rsplit("/", 1)[0], exist_ok=True)
+        try:
+            with open(place, "xb") as f:
+                f.write(data)
+        except FileExistsError:
+            return False
+        return True
+
     def drop(self, table: str, key: str) -> None:
         try:
             self.fs.delete_file(self._place(table, key))
