@@ -1,6 +1,6 @@
 """weftline: lazy, provenance-tracked data workflows as Spark plans."""
 
-from weftline import debug, parametric, utils
+from weftline import debug, dynamic, parametric, types, utils
 from weftline.api import execute, get, morph, put, py, reduce, reset, sac, shell, subdag, take, takeout, template, wait_for
 from weftline.flow import Flow, ManagedFlow, options
 from weftline.model import Artefact, Encoding, Error, ErrorKind, Operation, Options, ShellOutput, UnwrapError, match, unwrap
@@ -9,5 +9,5 @@ Fun, ManagedFun = Flow, ManagedFlow
 
 __all__ = [
     "Artefact", "Encoding", "Error", "ErrorKind", "Flow", "Fun", "ManagedFlow", "ManagedFun", "Operation", "Options", "ShellOutput", "UnwrapError",
-    "debug", "execute", "get", "match", "morph", "options", "parametric", "put", "py", "reduce", "reset", "sac", "shell", "subdag", "take", "takeout", "template", "unwrap", "utils", "wait_for",
+    "debug", "dynamic", "execute", "get", "match", "morph", "options", "parametric", "put", "py", "reduce", "reset", "sac", "shell", "subdag", "take", "takeout", "template", "types", "unwrap", "utils", "wait_for",
 ]
