@@ -67,6 +67,25 @@ def test_run(spark, sf_dir):
     assert got  # a row that the table repeats whole is one document and stays repeated
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty documents, labels and benchmark; and odd rows through every stage."""
+    folder = str(tmp_path)
+    odd = spark.createDataFrame(rows(), SCHEMA)
+    odd.write.parquet(f"{folder}/full/documents.parquet")
+    odd.limit(0).write.parquet(f"{folder}/none/documents.parquet")
+    for place in ("full", "none"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/{place}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/{place}/benchmark.parquet")
+    before = spark.read.parquet(f"{folder}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, spark.read.parquet(f"{folder}/none/documents.parquet"), f"{folder}/none")
+        assert none.count() == 0
+        if name != "token_output":
+            assert none.columns == before.columns
+            assert not Counter(stage(spark, before, f"{folder}/full").collect()) - Counter(before.collect()), name
+    assert stage(spark, before, f"{folder}/full").count() == before.count()
+
+
 def test_ids_survive_the_file():
     assert np.frombuffer(token_tables.encoder(open(tokenizer_path(), encoding="utf-8").read()).encode(["a b"])[0], "<u2").tolist()[-1] == 0
 
@@ -180,11 +199,13 @@ def test_run_against_plain_python(spark, tmp_path_factory):
     left = [i for i in left if not plain_leak(texts[i], item)]
     sizes.append(len(left))
     cell, cells = {}, Counter()
+    fitted = mixing.fit_topics(spark.createDataFrame([(i, texts[i], meta[i][0]) for i in left], "doc_id long, text string, lang string"))
     for i in left:
         raw = np.frombuffer(texts[i].lower().encode(), np.uint8)
         words = Words(raw, np.array([0, len(raw)]))
-        topics = Counter(int(h >> np.uint64(32)) % mixing.TOPICS for h, n in zip(words.hashes(), words.end - words.start) if n >= 5)
-        cell[i] = (meta[i][1], meta[i][0], str(min(topics, key=lambda t: (-topics[t], t), default=0)))
+        buckets = [int(h % np.uint64(mixing.TOPIC_WORDS)) for h, n in zip(words.hashes(), words.end - words.start) if n >= 5]
+        scores = [sum(fitted.weight[x, k] for x in buckets) / max(1, len(buckets)) - fitted.usual[meta[i][0]][k] for k in range(mixing.TOPICS)]
+        cell[i] = (meta[i][1], meta[i][0], str(max(range(mixing.TOPICS), key=lambda k: (scores[k], -k))) if buckets else "0")
         cells[cell[i]] += len(WORD.findall(texts[i]))
     chances = plain_chances(cells, mixing.KEEP)
     left = [i for i in left if chance[i] < chances[cell[i]]]

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.scratch import materialise, shared_root, workspace
+from weftline.scratch import delete_path, materialise, shared_root, workspace
 
-__all__ = ["materialise", "shared_root", "workspace"]
+__all__ = ["delete_path", "materialise", "shared_root", "workspace"]
 
 # The word separators of every contract: space and the control characters 9 to 13.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -182,12 +182,6 @@ def ascii_lower(col):
     return F.lower(F.decode(F.encode(col, "UTF-8"), "ISO-8859-1"))
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, parts: int = 1000) -> DataFrame:
     """Inner join in which no key of ``left`` gathers in one task.
 
