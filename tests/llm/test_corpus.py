@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, substring_dedup, surrogates, token_tables
-from weftline.llm.common import Words, ascii_lower, gram_hasher, text_chunks, workspace
+from weftline.llm.common import CHUNK_BYTES, Words, ascii_lower, gram_hasher, text_chunks, workspace
 from weftline.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -414,6 +414,29 @@ def test_quality_model(spark):
     assert set(lone.values()) == {(0.5,)}
 
 
+def test_sample_is_bounded(spark):
+    """Repeated rows count once, and long texts only as far as the bytes go."""
+    rows = [(i, ("good " if i % 2 else "bad ") * (1 + i % 5)) for i in range(60)] + [(7, "another text")] * 50 + [(8, "long " * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    sample, counts = quality_model.training_rows(df, labels)
+    assert len(sample) == len(free) and counts == Counter(i % 2 for i in free)
+    assert len(quality_model.training_rows(df, labels, per_class=10)[0]) == 20
+    small, _ = quality_model.training_rows(df, labels, most_bytes=200)
+    assert 0 < sum(len(t) for t, _ in small) <= 200
+
+
+def test_held_out_quality(spark):
+    """Held-out rows of the given table are told apart."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    got = [(r.score, known[r.doc_id]) for r in quality_model.score_documents(docs, labels).collect() if r.held_out and known.get(r.doc_id) is not None]
+    good, bad = [s for s, q in got if q], [s for s, q in got if not q]
+    assert len(bad) >= 5 and np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.9
+
+
 def test_word_order_counts(spark):
     """Texts that only the order of words tells apart: no word comes twice in a row, letters differ in the middle of words alone."""
     rng = np.random.default_rng(6)
@@ -492,6 +515,29 @@ def test_shards_of_null_and_repeated_ids(spark):
 
 
 # ------------------------------------------------------------------ 8
+def test_topics(spark):
+    """Topics part the vocabularies of each language alike; assignment by plain loops."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(240):
+        lang, topic = "xy"[i % 2], i // 2 % 3
+        rows.append((i, lang, " ".join([f"{lang}common{j}" for j in rng.integers(0, 20, 20)] + [f"{lang}topic{topic}word{j}" for j in rng.integers(0, 20, 20)])))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    fitted = mixing.fit_topics(df, topics=3)
+    got = {r.doc_id: r.topic for r in mixing.described(df, fitted).collect()}
+    for i, lang, text in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        buckets = [int(h % np.uint64(mixing.TOPIC_WORDS)) for h in Words(raw, np.array([0, len(raw)])).hashes()]
+        scores = [sum(fitted.weight[b, k] for b in buckets) / len(buckets) - fitted.usual[lang][k] for k in range(3)]
+        assert got[i] == str(int(np.argmax(scores)))
+    for lang in "xy":
+        kinds = {(i // 2 % 3, got[i]) for i, own, _ in rows if own == lang}
+        assert len(kinds) == 3
+    assert mixing.fit_topics(df.limit(0)).weight.shape == (mixing.TOPIC_WORDS, mixing.TOPICS)
+    given = df.withColumn("topic", F.lit("mine"))
+    assert {r.topic for r in mixing.described(given, fitted).collect()} == {"mine"}
+
+
 def test_raking():
     rng = np.random.default_rng(2)
     tokens = {(s, la, t): float(rng.integers(1, 100)) for s in "ab" for la in "xyz" for t in "12"}
@@ -589,6 +635,20 @@ def test_table_of_many_blocks(tmp_path):
         list(token_tables.open_table(place).scan())
 
 
+def test_other_splitters_get_whole_texts():
+    """Definitions whose splitter joins across spaces or line feeds, or that change the text."""
+    import json
+
+    plain = open(tokenizer_path(), encoding="utf-8").read()
+    joined = json.loads(plain)
+    joined["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"[^\s]+[\r\n]*|\s+"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    texts = ["one, two!\nthree four\nfive", "One two", "a b", ""]
+    for definition in (json.dumps(joined), open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()):
+        coder = token_tables.Encoder(definition)
+        assert not coder.cuts and coder.encode(texts) == [coder.pack([*ids, 0]) for ids in coder.plain(texts)]
+    assert token_tables.Encoder(plain).cuts
+
+
 def test_encoder_cuts_nothing_wrong():
     coder = token_tables.encoder(open(tokenizer_path(), encoding="utf-8").read())
     texts = ["", "a", "\n", " a", "a ", "x  y", "a\n\nb", "été\nà b", "<|endoftext|> a", "a\tb", "don't we're", "12 34\n5", "日本 語", "a b c", "a b c", "é x", "Hello, world!\nNew line.", "x\ry"]
@@ -821,6 +881,42 @@ def test_empty_table(spark, no_docs, labels, name):
     assert operators(spark, labels)[name](no_docs).count() == 0
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_texts_over_a_chunk(spark, labels, name):
+    """Whole texts of over CHUNK_BYTES, one of them a single word."""
+    rng = np.random.default_rng(20)
+    words = [f"w{i:x}" for i in rng.integers(0, 1 << 20, 400_000)]
+    item = "a question of some words that is long enough to be found again in a text"
+    texts = {1: " ".join(words), 2: " ".join(words) + f" {item} a@b.org", 3: "y" * 2_500_000, 4: "short text of its own"}
+    assert min(len(texts[i]) for i in (1, 2, 3)) > CHUNK_BYTES
+    got = {r.doc_id: r for r in operators(spark, labels)[name](spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    n_words = {d: len(t.split()) for d, t in texts.items()}
+    assert set(got) == set(texts)
+    if name == "rules":
+        assert {d: (r.n_words, r.word_chars, r.n_repeat_words) for d, r in got.items()} == {d: (n_words[d], len(t.replace(" ", "")), 0) for d, t in texts.items()}
+    elif name == "substrings":
+        assert {d: (r.n_words, r.n_removed) for d, r in got.items()} == {d: (n, len(words) if d == 2 else 0) for d, n in n_words.items()}
+        assert got[2].kept == f"{item} a@b.org"
+    elif name == "near":
+        assert {d: r.component_id for d, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    elif name == "lines":
+        assert {d: (r.n_lines, r.kept_sha256) for d, r in got.items()} == {d: (1, sha(t)) for d, t in texts.items()}
+    elif name == "leaks":
+        assert {d: r.item_ids for d, r in got.items()} == {1: [], 2: [1], 3: [], 4: []}
+    elif name == "model":
+        assert all(0 <= r.score <= 1 for r in got.values())
+    elif name == "shards":
+        assert {d: r["size"] for d, r in got.items()} == {d: len(t) + 8 for d, t in texts.items()}
+    elif name == "mix":
+        assert {d: r.n_tokens for d, r in got.items()} == n_words
+    elif name == "tokens":
+        coder = token_tables.encoder(open(tokenizer_path(), encoding="utf-8").read())
+        assert {d: r.n_tokens for d, r in got.items()} == {d: len(ids) + 1 for d, ids in zip(texts, coder.plain(list(texts.values())))}
+    elif name == "pii":
+        assert {d: r.n_entities for d, r in got.items()} == {1: 0, 2: 1, 3: 0, 4: 0}
+        assert got[2].text.startswith(texts[2][:-7]) and not got[2].text.endswith("a@b.org") and got[1].text == texts[1]
+
+
 def test_one_document_of_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (None, a)], "doc_id long, text string")
