@@ -367,6 +367,8 @@ def test_claims_of_gone_drivers_end(tmp_path, monkeypatch):
 
     flow, other = w.Flow(str(tmp_path / "s")), w.Flow(str(tmp_path / "s"))
     assert flow._claim("a" * 40) and flow._claim("a" * 40) and not other._claim("a" * 40)
+    flow.forget_runs()
+    assert other._claim("a" * 40)
     monkeypatch.setattr(module, "LEASE", -1.0)
     assert flow._claim("b" * 40) and other._claim("b" * 40)
 

@@ -24,7 +24,7 @@ def _parser() -> argparse.ArgumentParser:
         ("wait", "wait until computed"),
         ("graph", "print a DOT graph"),
         ("debug", "write all that is known to a folder"),
-        ("clean", "drop error records of what is computed"),
+        ("clean", "drop error records of what is computed, and claims of runs that stopped"),
     ):
         p = sub.add_parser(name, help=text)
         p.add_argument("hashes", nargs="*")
@@ -50,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
 
     targets = [single(h) for h in args.hashes]
     if args.command == "clean":
+        flow.forget_runs()
         for key in list(flow.store.keys("errors")):
             if flow.status(key).name != "error":
                 flow.store.drop("errors", key)

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from typing import Any
+from typing import Any, TypeVar
 
 from weftline import infer, mustache
-from weftline.flow import Flow, current, options
+from weftline.flow import Flow, current, load_data, options
 from weftline.model import Artefact, Encoding, Error, Function, How, Operation, Options, ShellOutput, match, unwrap
 
+#: Names of steps enter their hashes, so these have to be what they are.
+MAPPING, MORPH, REDUCE, SAC = "mapping_", "morph:", "reduce:", "SAC|"
+TEMPLATE, TEMPLATE_STRIPPED = "template (chevrons)", "template (chevrons, stripped)"
+
+S = TypeVar("S")
+T = TypeVar("T")
 Target = Any
 Thing = Artefact | Operation | ShellOutput
 
 
+log = logging.getLogger("weftline")
+
+
 def _flow(connection: Flow | None) -> Flow:
     return connection or current()
 
@@ -34,24 +44,23 @@ def _outputs(flow: Flow, thing: Thing) -> list[str]:
 
 
 # ------------------------------------------------------------------ values
-def put(value: Any, *, connection: Flow | None = None) -> Artefact:
+def put(value: T, *, connection: Flow | None = None) -> Artefact[T]:
     """Store a value under the hash of its content: bytes as they are, all else as JSON."""
     return _flow(connection).constant(value)
 
 
-def take(where: Artefact, *, strict: bool = True, connection: Flow | None = None) -> Any:
+def take(where: Artefact[T], *, strict: bool = True, connection: Flow | None = None) -> T | Error:
     """The value; an error is raised as UnwrapError, or returned if not strict."""
     value = _flow(connection).read(where.hash)
     return unwrap(value) if strict else value
 
 
 def takeout(where: Artefact, filename: str, *, connection: Flow | None = None) -> None:
-    """Copy the encoded value to a file."""
-    from weftline import codec
-
-    data = codec.encode(where.kind, unwrap(_flow(connection).read(where.hash)))
+    """Copy the bytes of a value, as they are stored, to a file."""
+    flow = _flow(connection)
+    data = unwrap(load_data(flow.store, flow.resolve(where.hash)))
     with open(filename, "wb") as f:
-        f.write(unwrap(data))
+        f.write(data)
 
 
 def execute(*targets: Thing, connection: Flow | None = None) -> None:
@@ -95,7 +104,7 @@ def _python(flow: Flow, fun: Callable[..., Any], what: str, inp: Sequence[Target
 
 def py(fun: Callable[..., Any], *inp: Target, out: Sequence[Encoding] | None = None, name: str | None = None, strict: bool = True, opt: Options | None = None, connection: Flow | None = None) -> Any:
     """n inputs to m outputs; a tuple of artefacts, or the only one."""
-    made = _python(_flow(connection), fun, name or f"mapping_{len(inp)}:{fun.__qualname__}", inp, out if out is not None else infer.output_types(fun), strict, opt)
+    made = _python(_flow(connection), fun, name or f"{MAPPING}{len(inp)}:{fun.__qualname__}", inp, out if out is not None else infer.output_types(fun), strict, opt)
     return made[0] if len(made) == 1 else made
 
 
@@ -113,18 +122,18 @@ def _kind(fun: Callable[..., Any], given: Iterable[Artefact], out: Encoding | No
         return kinds.pop()
 
 
-def morph(fun: Callable[[Any], Any], inp: Target, *, out: Encoding | None = None, name: str | None = None, strict: bool = True, opt: Options | None = None, connection: Flow | None = None) -> Artefact:
+def morph(fun: Callable[[S], T], inp: Artefact[S] | S, *, out: Encoding | None = None, name: str | None = None, strict: bool = True, opt: Options | None = None, connection: Flow | None = None) -> Artefact[T]:
     """One input to one output."""
     flow = _flow(connection)
     given = as_artefact(flow, inp)
-    return _python(flow, fun, name or f"morph:{fun.__qualname__}", [given], [_kind(fun, [given], out)], strict, opt)[0]
+    return _python(flow, fun, name or f"{MORPH}{fun.__qualname__}", [given], [_kind(fun, [given], out)], strict, opt)[0]
 
 
-def reduce(fun: Callable[..., Any], *inp: Target, out: Encoding | None = None, name: str | None = None, strict: bool = True, opt: Options | None = None, connection: Flow | None = None) -> Artefact:
+def reduce(fun: Callable[..., T], *inp: Target, out: Encoding | None = None, name: str | None = None, strict: bool = True, opt: Options | None = None, connection: Flow | None = None) -> Artefact[T]:
     """n inputs to one output."""
     flow = _flow(connection)
     given = [as_artefact(flow, x) for x in inp]
-    return _python(flow, fun, name or f"reduce:{fun.__qualname__}", given, [_kind(fun, given, out)], strict, opt)[0]
+    return _python(flow, fun, name or f"{REDUCE}{fun.__qualname__}", given, [_kind(fun, given, out)], strict, opt)[0]
 
 
 # ------------------------------------------------------------------ commands and templates
@@ -135,6 +144,9 @@ def shell(*args: str, inp: Mapping[Any, Target] | None = None, out: Iterable[Any
     flow = _flow(connection)
     if not all(isinstance(a, str) for a in args):
         raise TypeError("commands are strings")
+    for k, v in (inp or {}).items() if isinstance(inp, Mapping) else ():
+        if isinstance(v, str):
+            log.warning("input %s is a str: its file will hold JSON, with quotes; give bytes for plain text", k)
     if inp is not None and not isinstance(inp, Mapping):
         raise TypeError("inp maps file names to values")
     given = {str(k): as_artefact(flow, v) for k, v in (inp or {}).items()}
@@ -176,7 +188,7 @@ def template(template: Target, data: Mapping[str, Target], strip: bool = True, *
     given[template_key] = text(template)
     env_key = free("env")
     given[env_key] = as_artefact(flow, dict(env) if env is not None else None)
-    what = name or ("template (chevrons, stripped)" if strip else "template (chevrons)")  # fixed values: they enter the hash
+    what = name or (TEMPLATE_STRIPPED if strip else TEMPLATE)
     function = Function(How.python, what, {k: a.kind for k, a in given.items()}, {"out": Encoding.blob}, _Rendered(template_key, env_key, strip))
     return flow.artefact(flow.make(function, given, opt).out["out"])
 
@@ -195,7 +207,7 @@ def sac(split_fun: Callable[..., Sequence], apply_fun: Callable[[Artefact], Arte
     """Split a value, apply steps to each part, combine: how many parts there are shows when it runs."""
     flow = _flow(connection)
     given = {f"in{i}": as_artefact(flow, x) for i, x in enumerate(inp)}
-    what = name or f"SAC|{split_fun.__qualname__}|{apply_fun.__qualname__}|{combine_fun.__qualname__}"
+    what = name or f"{SAC}{split_fun.__qualname__}|{apply_fun.__qualname__}|{combine_fun.__qualname__}"
     function = Function(How.subdag, what, {k: a.kind for k, a in given.items()}, {"out": out}, _Unfolded(split_fun, apply_fun, combine_fun, list(given)), not strict)
     return flow.artefact(flow.make(function, given, opt).out["out"])
 

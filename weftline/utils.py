@@ -10,6 +10,10 @@ from weftline.flow import Flow
 from weftline.model import Artefact, Encoding, Error, Options, match
 
 
+#: Names of steps enter their hashes.
+CONCATENATE, TRUNCATE, STOP_IF = "concatenate ", "truncate ", "stop_if:"
+
+
 class _All:
     def __call__(self, *_: Any) -> bytes:
         return b""
@@ -41,7 +45,7 @@ def _concat(join: bytes, strip: bool, *parts: Any) -> bytes:
 
 def concat(*inp: Any, join: bytes = b"", strip: bool = False, strict: bool = True, opt: Options | None = None, connection: Flow | None = None) -> Artefact[bytes]:
     """Join blobs; lax leaves failed ones out."""
-    return api.reduce(_concat, join, strip, *inp, out=Encoding.blob, name=f"concatenate {len(inp)}", strict=strict, opt=opt, connection=connection)
+    return api.reduce(_concat, join, strip, *inp, out=Encoding.blob, name=f"{CONCATENATE}{len(inp)}", strict=strict, opt=opt, connection=connection)
 
 
 class _Truncated:
@@ -56,7 +60,7 @@ class _Truncated:
 def truncate(inp: Any, top: int = 0, bottom: int = 0, separator: str | bytes = b"\n", *, opt: Options | None = None, connection: Flow | None = None) -> Artefact[bytes]:
     """Without the first ``top`` and last ``bottom`` parts between separators."""
     mark = separator.encode() if isinstance(separator, str) else separator
-    return api.morph(_Truncated(top, bottom, mark), inp, out=Encoding.blob, name=f"truncate {top}:{bottom}:{mark!r}", opt=opt, connection=connection)
+    return api.morph(_Truncated(top, bottom, mark), inp, out=Encoding.blob, name=f"{TRUNCATE}{top}:{bottom}:{mark!r}", opt=opt, connection=connection)
 
 
 class _Stopped:
@@ -73,7 +77,7 @@ def stop_if(fun: Callable[[Any], bool], inp: Any, *, opt: Options | None = None,
     """The value, or an error where fun(value) holds."""
     flow = connection or api.current()
     given = api.as_artefact(flow, inp)
-    return api.morph(_Stopped(fun), given, out=given.kind, name=f"stop_if:{fun.__qualname__}", opt=opt, connection=flow)
+    return api.morph(_Stopped(fun), given, out=given.kind, name=f"{STOP_IF}{fun.__qualname__}", opt=opt, connection=flow)
 
 
 def _empty(value: bytes) -> bool:
