@@ -119,13 +119,12 @@ def table_keys(nodes: DataFrame, path: str) -> DataFrame:
     return materialise(join_split(keyed, groups, ["key"], "times", keyed.count()).select("key", "node", "n"), f"{path}/members")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, total: int, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, ok: whether 100 * intersection >= percent * union of the full sets of x and y.
 
-    ``pairs`` has each pair (a, b) once, with x and y as its ends in any order. A y of many pairs is
-    dealt over several tasks, its set going to each; the keys for that are fewer than 1000.
+    ``pairs`` has each of ``total`` pairs (a, b) once, with x and y as its ends in any order. A y of
+    many pairs is dealt over several tasks, its set going to each; the keys for that are fewer than 1000.
     """
-    total = pairs.count()
     share = max(100, total // 1000)
     busy = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > share)
     busy = F.broadcast(busy.select("y", F.ceil(F.col("times") / share).cast("long").alias("parts")))
@@ -248,7 +247,10 @@ class _Links:
         path, comps = self.path, self.comps
         pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("y").alias("y")).join(self.tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs.withColumn("x", F.when(F.col("y") == F.col("a"), F.col("b")).otherwise(F.col("a"))), f"{path}/pairs-{self.turn}")
-        judged = materialise(similar(pairs, self.sets, self.percent), f"{path}/judged-{self.turn}")
+        total = pairs.count()
+        if not total:
+            return
+        judged = materialise(similar(pairs, total, self.sets, self.percent), f"{path}/judged-{self.turn}")
         release(pairs.sparkSession)
         links = judged.filter("ok").select("a", "b")
         self.tested = self.tested.unionByName(judged.filter(~F.col("ok")).select("a", "b"))
