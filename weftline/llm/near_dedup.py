@@ -30,8 +30,8 @@ PERCENT = 80
 M = 14
 ROWS = 3
 ROUNDS = 1
-#: Rows of a group that are compared with all its others at a time.
-PIVOTS = 256
+#: Places that are compared in a turn for each row there was at first; and rows of a group, at most, that all others are compared with.
+PIVOTS, MOST_PIVOTS = 256, 8192
 
 SIGNED_SCHEMA = "doc_id long, tk long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>"
 _LONGS = pa.list_(pa.int64())
@@ -193,7 +193,7 @@ class _Links:
     """The components as they stand, and the pairs that were found not to be linked."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int, path: str):
-        self.sets, self.percent, self.path, self.turn = sets, percent, path, 0
+        self.sets, self.percent, self.path, self.turn, self.most = sets, percent, path, 0, 0
         self.comps = materialise(nodes.select("node").distinct().select("node", F.col("node").alias("comp")), f"{path}/comps-start")
         self.tested = nodes.sparkSession.createDataFrame([], "a long, b long")
 
@@ -230,15 +230,17 @@ class _Links:
     def across(self, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pairs to compare, rows still to be dealt with) of groups in several components.
 
-        Groups of up to PIVOTS rows are compared within. Of larger ones some PIVOTS rows are compared
-        with all others and then leave the group, so a turn makes at most about PIVOTS pairs a row.
+        Groups of few rows are compared within. Of larger ones some rows, the pivots, are compared with
+        all others and then leave the group. How many depends on how many rows are left, so that no turn
+        looks at more than about PIVOTS places for each row of the first turn; few of them fit.
         """
         rows = apart.withColumnRenamed("node", "x").drop("center")
         mate = F.struct(F.col("x").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("place").alias("q"))
-        few = F.col("times") <= PIVOTS
-        pivot = few | (F.pmod(F.xxhash64(F.lit(self.turn), "key", "x"), F.col("times")) < PIVOTS)
-        mates = rows.filter(pivot).groupBy("key", "times").agg(F.collect_list(mate).alias("mates"))
         total = rows.count()
+        self.most = self.most or total
+        pivots = min(MOST_PIVOTS, max(PIVOTS, PIVOTS * self.most // max(1, total)))
+        pivot = (F.col("times") <= pivots) | (F.pmod(F.xxhash64(F.lit(self.turn), "key", "x"), F.col("times")) < pivots)
+        mates = rows.filter(pivot).groupBy("key", "times").agg(F.collect_list(mate).alias("mates"))
         pairs = join_split(rows.drop("times"), mates, ["key"], "times", total).select("x", "n", "comp", "place", F.inline("mates"))
         return self._fits(pairs), rows.filter(~pivot).select("key", F.col("x").alias("node"), "n", "place")
 
