@@ -30,8 +30,10 @@ PERCENT = 80
 M = 14
 ROWS = 3
 ROUNDS = 1
-#: Places that are compared in a turn for each row there was at first; and rows of a group, at most, that all others are compared with.
-PIVOTS, MOST_PIVOTS = 256, 8192
+#: Rows of a group that all its others are compared with in a turn, and turns with one center each for groups that are larger.
+PIVOTS, CENTERS = 2048, 4
+#: Keys of 8 or 16 bytes that are broadcast, by count; more of them are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 SIGNED_SCHEMA = "doc_id long, tk long, n_shingles long, s1 long, s2 long, u array<long>, v array<long>"
 _LONGS = pa.list_(pa.int64())
@@ -125,6 +127,9 @@ def similar(pairs: DataFrame, total: int, sets: DataFrame, percent: int) -> Data
     ``pairs`` has each of ``total`` pairs (a, b) once, with x and y as its ends in any order. A y of
     many pairs is dealt over several tasks, its set going to each; the keys for that are fewer than 1000.
     """
+    if 2 * total <= BROADCAST_KEYS:  # few pairs: only the sets they need are shuffled
+        needed = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(needed), "node", "left_semi")
     share = max(100, total // 1000)
     busy = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > share)
     busy = F.broadcast(busy.select("y", F.ceil(F.col("times") / share).cast("long").alias("parts")))
@@ -193,56 +198,56 @@ class _Links:
     """The components as they stand, and the pairs that were found not to be linked."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int, path: str):
-        self.sets, self.percent, self.path, self.turn, self.most = sets, percent, path, 0, 0
+        self.sets, self.percent, self.path, self.turn, self.total, self.largest = sets, percent, path, 0, 0, 0
         self.comps = materialise(nodes.select("node").distinct().select("node", F.col("node").alias("comp")), f"{path}/comps-start")
         self.tested = nodes.sparkSession.createDataFrame([], "a long, b long")
 
     def apart(self, members: DataFrame) -> DataFrame | None:
-        """The members (key, node, n, maybe place) of groups in several components, with comp, times and a center."""
+        """The members (key, node, n, maybe place) of groups in several components, with comp, times and a center.
+
+        ``largest`` is then the number of rows of the largest group, and ``total`` that of all.
+        """
         self.turn += 1
         # a node is in a bounded number of groups: M * M, or as many as a prefix is long
         known = materialise(members.join(self.comps, "node"), f"{self.path}/known-{self.turn}")
         order = F.col("node") if self.turn == 1 else F.xxhash64(F.lit(self.turn), "node")
         groups = known.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "n", "comp"), order).alias("center"))
         groups = materialise(groups.filter(F.col("c0") != F.col("c1")).select("key", "times", "center"), f"{self.path}/groups-{self.turn}")
-        total = groups.agg(F.sum("times")).first()[0] or 0
-        return materialise(join_split(known, groups, ["key"], "times", total), f"{self.path}/apart-{self.turn}") if total else None
+        self.total, self.largest = (x or 0 for x in groups.agg(F.sum("times"), F.max("times")).first())
+        return materialise(join_split(known, groups, ["key"], "times", self.total), f"{self.path}/apart-{self.turn}") if self.total else None
 
     def to_centers(self, apart: DataFrame) -> DataFrame:
         """One pair for each member that is not in its center's component."""
         other = (F.col("comp") != F.col("center.comp")) & _can(F.col("n"), F.col("center.n"), self.percent)
         return apart.filter(other).select(F.col("node").alias("x"), F.col("center.node").alias("y"))
 
-    def _fits(self, pairs: DataFrame) -> DataFrame:
-        """x, y of the ``pairs`` in different components whose places (see prefix_keys) leave room for similarity.
+    def _fits(self, mate: Column) -> Column:
+        """Whether x and a mate are in different components, and their places (see prefix_keys) leave room for similarity.
 
         The overlap has to be percent / (100 + percent) of both sizes together. The smaller set of a
         pair so has a common shingle among fewer of its first ones still, and after the first common
         one, at places p and q, at most min(n - p, m - q) can be common.
         """
-        percent, n, m, p, q = self.percent, F.col("n"), F.col("m"), F.col("place"), F.col("q")
-        small = (n < m) | ((n == m) & (F.col("x") < F.col("y")))
+        percent, n, m, p, q = self.percent, F.col("n"), mate["m"], F.col("place"), mate["q"]
+        small = (n < m) | ((n == m) & (F.col("x") < mate["y"]))
         least, at = F.when(small, n).otherwise(m), F.when(small, p).otherwise(q)
         early = at < least - F.ceil(F.lit(2 * percent) * least / (100 + percent)) + 1
         room = F.least(n - p, m - q) * (100 + percent) >= percent * (n + m)
-        return pairs.filter((F.col("x") != F.col("y")) & (F.col("comp") != F.col("other")) & _can(n, m, percent) & early & room).select("x", "y")
+        return (F.col("x") != mate["y"]) & (F.col("comp") != mate["other"]) & _can(n, m, percent) & early & room
 
-    def across(self, apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def across(self, apart: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """(pairs to compare, rows still to be dealt with) of groups in several components.
 
-        Groups of few rows are compared within. Of larger ones some rows, the pivots, are compared with
-        all others and then leave the group. How many depends on how many rows are left, so that no turn
-        looks at more than about PIVOTS places for each row of the first turn; few of them fit.
+        Groups of up to PIVOTS rows are compared within. Of larger ones about so many rows, the pivots,
+        are compared with all others and then leave the group. Only pairs that fit become rows.
         """
         rows = apart.withColumnRenamed("node", "x").drop("center")
         mate = F.struct(F.col("x").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("place").alias("q"))
-        total = rows.count()
-        self.most = self.most or total
-        pivots = min(MOST_PIVOTS, max(PIVOTS, PIVOTS * self.most // max(1, total)))
-        pivot = (F.col("times") <= pivots) | (F.pmod(F.xxhash64(F.lit(self.turn), "key", "x"), F.col("times")) < pivots)
+        pivot = (F.col("times") <= PIVOTS) | (F.pmod(F.xxhash64(F.lit(self.turn), "key", "x"), F.col("times")) < PIVOTS)
         mates = rows.filter(pivot).groupBy("key", "times").agg(F.collect_list(mate).alias("mates"))
-        pairs = join_split(rows.drop("times"), mates, ["key"], "times", total).select("x", "n", "comp", "place", F.inline("mates"))
-        return self._fits(pairs), rows.filter(~pivot).select("key", F.col("x").alias("node"), "n", "place")
+        met = join_split(rows.drop("times"), mates, ["key"], "times", self.total)
+        pairs = met.select("x", F.explode(F.transform(F.filter("mates", self._fits), lambda m: m["y"])).alias("y"))
+        return pairs, rows.filter(~pivot).select("key", F.col("x").alias("node"), "n", "place") if self.largest > PIVOTS else None
 
     def judge(self, pairs: DataFrame) -> None:
         """Compares full sets and joins the components of the similar."""
@@ -289,11 +294,15 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int, path:
     if apart is None:
         return state.comps
     members = prefix_keys(apart.select("node"), sets, percent, path)
-    apart = state.apart(members)
-    if apart is not None:
+    for _ in range(CENTERS):
+        apart = state.apart(members)
+        if apart is None:
+            return state.comps
         state.judge(state.to_centers(apart))
         members = apart.select(*members.columns)
-    while apart is not None and (apart := state.apart(members)) is not None:
+        if state.largest <= PIVOTS:
+            break
+    while members is not None and (apart := state.apart(members)) is not None:
         pairs, members = state.across(apart)
         state.judge(pairs)
     return state.comps
@@ -329,7 +338,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     release(spark)
     wanted = members.select("node").distinct().join(same.select("node", "x.tk"), "node").select(F.col("node").alias("doc_id"), "tk")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), "text")
-    sets = texts.join(wanted.distinct(), ["doc_id", "tk"], "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), SET_SCHEMA)
+    wanted = materialise(wanted.distinct(), f"{path}/wanted")
+    if wanted.count() <= BROADCAST_KEYS:  # so texts need not be shuffled
+        wanted = F.broadcast(wanted)
+    sets = texts.join(wanted, ["doc_id", "tk"], "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), SET_SCHEMA)
     sets = materialise(sets, f"{path}/sets")
     release(spark)
     comps = linked(members, sets, percent, rounds, path)
