@@ -53,20 +53,6 @@ def test_stages(spark, sf_dir):
     assert not {200, 201, 202} & {r.doc_id for r in docs.collect()}
 
 
-def test_run(spark, sf_dir):
-    from tokenizers import Tokenizer
-
-    got = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
-    texts = {(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    coder = Tokenizer.from_file(tokenizer_path())
-    start = 0
-    for r in got:
-        assert r.start == start
-        start += r.n_tokens
-        assert any(len(coder.encode(t or "", add_special_tokens=False).ids) + 1 == r.n_tokens for d, t in texts if d == r.doc_id)
-    assert got  # a row that the table repeats whole is one document and stays repeated
-
-
 def test_stages_on_odd_tables(spark, tmp_path):
     """Empty documents, labels and benchmark; and odd rows through every stage."""
     folder = str(tmp_path)
