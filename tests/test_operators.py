@@ -149,3 +149,19 @@ def test_python_functions_over_results(spark):
     assert [(r.s.value, r.i.value) for r in rows] == [("5.0", 5), (None, None), (None, None)]
     assert rows[2].s.error == rows[2].r.error and rows[2].r.error.source.endswith("inverse")
     assert [r.value for r in rows] == ["good", "bad", "bad"]
+
+
+def test_python_split_and_combine(spark):
+    from weftline.operators import dynamic
+
+    df = spark.createDataFrame([(1, "3 1 2"), (2, ""), (3, None)], "i long, t string")
+    parts = dynamic.split_by(lambda t: [int(x) for x in t.split()], "long")
+    total = dynamic.combine_by(lambda xs: sum(x * 10**k for k, x in enumerate(xs)), "long")
+    got = dynamic.exploded(df, ["i"], parts(F.col("t")), lambda rows: rows.withColumn("value", F.col("part") + 1), total)
+    assert {r.i: r.value for r in got.collect()} == {1: 324, 2: 0, 3: 0}
+
+
+def test_whole_templates_over_columns(spark, monkeypatch):
+    df = spark.createDataFrame([(" Ann ", ["a", "b"], True), ("Bob", [], False)], "name string, xs array<string>, on boolean")
+    filled = text.rendered("{{name}}:{{#xs}}[{{.}}]{{/xs}}{{^on}}off{{/on}}{{missing}}", {"name": F.col("name"), "xs": F.col("xs"), "on": F.col("on")}, env={"missing": "WEFTLINE_NO_SUCH"})
+    assert [r.v for r in df.select(filled.alias("v")).collect()] == ["Ann:[a][b]", "Bob:off"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline import mustache
 from weftline.operators import results
 
 #: The white space that stripping bytes removes.
@@ -59,8 +61,7 @@ def chunks(data: Column, size: int) -> Column:
 def template(text: str, values: Mapping[str, Column]) -> Column:
     """``{{name}}`` replaced by values stripped of white space, ``{{{name}}}`` and ``{{&name}}`` alike.
 
-    Only plain variables are expressed here, escaped for HTML unless tripled; sections need render()
-    in weftline.mustache.
+    Only plain variables are expressed here, escaped for HTML unless tripled; rendered() has sections.
     """
     out: list[Column] = []
     at = 0
@@ -73,6 +74,29 @@ def template(text: str, values: Mapping[str, Column]) -> Column:
     return F.concat(*out, F.lit(text[at:]))
 
 
+def rendered(text: str, values: Mapping[str, Column], env: Mapping[str, str] | None = None) -> Column:
+    """A whole mustache template over columns: sections, inverted sections, comments, delimiters.
+
+    Strings are stripped of white space; arrays make a section repeat, structs and maps open a scope.
+    ``env`` maps names to variables of the worker's environment. Rows travel in Arrow batches.
+    """
+    names = list(values)
+
+    def plain(value):
+        if hasattr(value, "asDict"):
+            return {k: plain(v) for k, v in value.asDict().items()}
+        if isinstance(value, dict):
+            return {k: plain(v) for k, v in value.items()}
+        if isinstance(value, (list, tuple)):
+            return [plain(v) for v in value]
+        return value.strip() if isinstance(value, str) else value
+
+    def fill(*row):
+        return mustache.render(text, {**{n: plain(v) for n, v in zip(names, row)}, **{n: os.environ.get(v) for n, v in (env or {}).items()}})
+
+    return F.udf(fill, "string", useArrow=True)(*values.values())
+
+
 def escape_html(value: Column) -> Column:
     for char, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
         value = F.replace(value, F.lit(char), F.lit(entity))

@@ -88,7 +88,7 @@ def _write(tree: list, scopes: list) -> str:
         elif mark in "{&":
             out.append(_text(value))
         elif mark == "^":
-            if not value and value != 0 or value == []:
+            if value is False or not value and value != 0:
                 out.append(_write(inner, scopes))
         elif isinstance(value, (list, tuple)):
             out.extend(_write(inner, [*scopes, item]) for item in value)

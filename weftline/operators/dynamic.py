@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +37,16 @@ def exploded(df: DataFrame, keys: list[str], parts: Column, apply: Callable[[Dat
 def ordered(value: Column, order: Column) -> Column:
     """Aggregate: the values of a group as an array by rising ``order``."""
     return F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda p: p["v"])
+
+
+def split_by(fun: Callable[[Any], Iterable[Any]], part: str) -> Callable[..., Column]:
+    """A Python function from a value to its parts, of SQL type ``part``, as a column of parts; null has none.
+
+    Rows travel in Arrow batches. For exploded(), and for in_row() where the steps are columns.
+    """
+    return F.udf(lambda value: [] if value is None else list(fun(value)), f"array<{part}>", useArrow=True)
+
+
+def combine_by(fun: Callable[[Sequence[Any]], Any], out: str) -> Callable[[Column], Column]:
+    """A Python function from the ordered values of a key to one value of SQL type ``out``, as a combine step."""
+    return F.udf(lambda values: fun([] if values is None else list(values)), out, useArrow=True)
