@@ -182,16 +182,18 @@ def ascii_lower(col):
     return F.lower(F.decode(F.encode(col, "UTF-8"), "ISO-8859-1"))
 
 
-def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, parts: int = 1000) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, parts: int = 1000, grows: bool = False) -> DataFrame:
     """Inner join in which no key of ``left`` gathers in one task.
 
     ``right`` has one row per key, and ``weight`` says how many rows of ``left`` have it, of
     ``total`` altogether. Keys with a share over 1/parts number fewer than ``parts``: they are
-    broadcast under that bound. The rest is shuffled.
+    broadcast under that bound. The rest is shuffled; where ``right`` ``grows`` with the corpus that is
+    said to Spark, so that the plan is the same at every size.
     """
     at = max(1000, total // parts)
     heavy = F.broadcast(right.filter(F.col(weight) > at))
     light = right.filter(F.col(weight) <= at)
+    light = light.hint("merge") if grows else light
     rest = left.join(heavy.select(*keys), keys, "left_anti")
     return left.join(heavy, keys).unionByName(rest.join(light, keys))
 

@@ -172,7 +172,7 @@ def lost_lines(keys: DataFrame, runs: LineRuns, min_docs: int, batches: int, pat
         known = runs.seen(counts).filter(F.col("before") > 0).select(*HASH, "n_lines", (F.col("before") + F.col("n_docs")).alias("so_far"), F.lit(None).cast("long").alias("keeper"))
         judged = materialise(new, f"{path}/new-{i}").unionByName(materialise(known, f"{path}/known-{i}"))
         total = judged.agg(F.sum("n_lines")).first()[0] or 0
-        rows = join_split(batch.select(*spot, *HASH), judged, HASH, "n_lines", total).filter(F.col("keeper").isNull() | (F.col("doc_id") < F.col("keeper")))
+        rows = join_split(batch.select(*spot, *HASH), judged, HASH, "n_lines", total, grows=True).filter(F.col("keeper").isNull() | (F.col("doc_id") < F.col("keeper")))
         rows = materialise(rows.select(*spot, *HASH, (F.col("so_far") >= min_docs).alias("common")), f"{path}/judged-{i}")
         lost = rows if lost is None else lost.unionByName(rows)
         runs.add(counts)
@@ -205,8 +205,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     lost = materialise(lost.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("pos")).alias("lost")), f"{path}/lost")
     runs.clear()
     rows = docs.withColumn("tk", text_key(F.col("text")))
-    # null doc_ids lose nothing, so they need no join
-    rows = rows.filter(F.col("doc_id").isNotNull()).join(lost, ["doc_id", "tk"], "left").unionByName(rows.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
+    # null doc_ids lose nothing, so they need no join; what is lost grows with the corpus
+    rows = rows.filter(F.col("doc_id").isNotNull()).join(lost.hint("merge"), ["doc_id", "tk"], "left").unionByName(rows.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
     def kept(ls, gone):
