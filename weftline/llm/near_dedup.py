@@ -108,7 +108,7 @@ def table_keys(nodes: DataFrame, path: str) -> DataFrame:
     counts = singles.groupBy("side", "i", "h").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
     counts = materialise(counts, f"{path}/singles")
     total = counts.agg(F.sum("times")).first()[0] or 0
-    shared = join_split(singles, counts, ["side", "i", "h"], "times", total).groupBy("node").pivot("side", ["u", "v"]).agg(F.collect_list(F.struct("i", "h")))
+    shared = join_split(singles, counts, ["side", "i", "h"], "times", total, grows=True).groupBy("node").pivot("side", ["u", "v"]).agg(F.collect_list(F.struct("i", "h")))
     shared = shared.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     # (u_i, v_j) for the shared ones of each side: at most M * M keys a node
     keyed = shared.select("node", F.explode("u").alias("a"), "v").select("node", "a", F.explode("v").alias("b"))
@@ -118,7 +118,7 @@ def table_keys(nodes: DataFrame, path: str) -> DataFrame:
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("low"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("who")).filter(F.col("times") > 1)
     groups = groups.groupBy("times", "low", "who").agg(F.min("key").alias("key")).select("key", "times")
     groups = materialise(groups, f"{path}/groups")
-    return materialise(join_split(keyed, groups, ["key"], "times", keyed.count()).select("key", "node", "n"), f"{path}/members")
+    return materialise(join_split(keyed, groups, ["key"], "times", keyed.count(), grows=True).select("key", "node", "n"), f"{path}/members")
 
 
 def similar(pairs: DataFrame, total: int, sets: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, m
     release(spark)
     comps = linked(members, sets, percent, rounds, path)
     reps = same.join(comps, "node", "left").select("s1", "s2", "n_shingles", "times", F.coalesce("comp", "node").alias("component_id"))
-    rows_of = join_split(full.select("doc_id", "tk", "s1", "s2", "n_shingles"), reps, ["s1", "s2", "n_shingles"], "times", full.count()).select("doc_id", "tk", "n_shingles", "component_id")
+    rows_of = join_split(full.select("doc_id", "tk", "s1", "s2", "n_shingles"), reps, ["s1", "s2", "n_shingles"], "times", full.count(), grows=True).select("doc_id", "tk", "n_shingles", "component_id")
     rows_of = _one_per_document(materialise(rows_of, f"{path}/rows"), path)
     rest = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id"))
     out = rows_of.unionByName(rest)
