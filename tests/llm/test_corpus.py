@@ -495,6 +495,21 @@ def test_slot_map_versions(spark, unique_docs):
     assert set(fewer.values()) == {0, 1, 2} and all(fewer[s] == steady[s] for s in even if steady[s] < 3)
 
 
+def test_large_slots_change_places():
+    """Slots far larger than a row, all of nearly one size: shards still differ by a row's size at most."""
+    rng = np.random.default_rng(4)
+    for mean, row in ((500_000, 120_000), (50_000_000, 120_000), (7_000_000, 200)):
+        sizes = {s: int(x) for s, x in enumerate(rng.normal(mean, mean / 30, 4096))}
+        start = {s: s % 24 for s in sizes}
+        got = sharding.rebalanced(start, sizes, 24, row=row)
+        load = Counter()
+        for s, shard in got.items():
+            load[shard] += sizes[s]
+        assert set(got) == set(sizes) and len(load) == 24
+        assert max(load.values()) - min(load.values()) <= row
+        assert sum(got[s] != start[s] for s in sizes) < 300
+
+
 def test_shards_of_null_and_repeated_ids(spark):
     """Half of the rows have no doc_id, a third one and the same, and most texts are equal; the law still holds."""
     rng = np.random.default_rng(9)

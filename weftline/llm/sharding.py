@@ -10,6 +10,7 @@ doc_id, and those of a doc_id that has more bytes than a mean slot, are spread o
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterable
@@ -57,8 +58,8 @@ def slotted(docs: DataFrame, path: str, slots: int = SLOTS) -> DataFrame:
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
-    """Bytes and rows of each slot that has any: at most ``slots`` rows, summed before the shuffle."""
-    return rows.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
+    """Bytes, rows and largest row of each slot that has any: at most ``slots`` rows, summed before the shuffle."""
+    return rows.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"), F.max("size").alias("largest"))
 
 
 def packed(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, int]:
@@ -72,12 +73,13 @@ def packed(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, int]:
     return out
 
 
-def rebalanced(current: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.001) -> dict[int, int]:
+def rebalanced(current: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.001, row: int | None = None) -> dict[int, int]:
     """A map for new sizes or another number of shards that moves slots only off shards over the mean.
 
     Slots of a shard that is no more are placed anew. A shard gives up slots, largest first that
-    fits, until it is within ``slack`` of the mean; what was given up is packed greedily. Then, while
-    it evens them out, a slot goes from the fullest shard to the lightest. Ties go by number.
+    fits, until it is within ``slack`` of the mean; what was given up is packed greedily. Then a slot goes
+    from the fullest shard to the lightest, or changes places with one of it, until they differ by
+    ``slack`` of the mean, and by a ``row``'s size, at most, or nothing evens them out. Ties go by number.
     """
     mean = sum(sizes.values()) / max(1, shards)
     held: dict[int, list[int]] = {s: [] for s in range(shards)}
@@ -99,17 +101,28 @@ def rebalanced(current: dict[int, int], sizes: dict[int, int], shards: int, slac
         held[s].append(slot)
         load[s] += sizes[slot]
         heapq.heappush(heap, (at + sizes[slot], s))
+    goal = slack * mean if row is None else min(slack * mean, row)
     for _ in range(len(sizes)):
         full, light = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
         gap = load[full] - load[light]
-        fits = [x for x in held[full] if 0 < sizes[x] < gap]
-        if gap <= slack * mean or not fits:
+        if gap <= goal:
             break
-        slot = min(fits, key=lambda x: (abs(2 * sizes[x] - gap), x))
+        back = sorted([(0, -1), *((sizes[x], x) for x in held[light])])  # -1: nothing comes back
+        near = []
+        for slot in held[full]:
+            at = bisect.bisect(back, (sizes[slot] - gap / 2,))
+            near += [(abs(2 * (sizes[slot] - size) - gap), slot, other) for size, other in back[max(0, at - 1) : at + 1] if 0 < sizes[slot] - size < gap]
+        if not near:
+            break
+        _, slot, other = min(near)
         held[full].remove(slot)
         held[light].append(slot)
-        load[full] -= sizes[slot]
-        load[light] += sizes[slot]
+        if other >= 0:
+            held[light].remove(other)
+            held[full].append(other)
+        moved = sizes[slot] - sizes.get(other, 0)
+        load[full] -= moved
+        load[light] += moved
     return {slot: s for s, own in held.items() for slot in own}
 
 
@@ -132,11 +145,11 @@ class SlotMap:
         by = {r[0]: (r[1], r[2]) for r in sizes.select("virtual_slot", "slot_bytes", "slot_rows").collect()}
         return self.write(1, packed(((s, b) for s, (b, _) in by.items()), shards), by)
 
-    def rebalance(self, version: int, sizes: DataFrame, shards: int) -> DataFrame:
+    def rebalance(self, version: int, sizes: DataFrame, shards: int, row: int | None = None) -> DataFrame:
         """Version + 1: the map of ``version`` edited for new sizes or another number of shards."""
         by = {r[0]: (r[1], r[2]) for r in sizes.select("virtual_slot", "slot_bytes", "slot_rows").collect()}
         old = {r[0]: r[1] for r in self.read(version).select("virtual_slot", "shard").collect()}
-        return self.write(version + 1, rebalanced(old, {s: b for s, (b, _) in by.items()}, shards), by)
+        return self.write(version + 1, rebalanced(old, {s: b for s, (b, _) in by.items()}, shards, row=row), by)
 
 
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -157,7 +170,7 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 24, slots: int = S
 
     Version 1 deals the slots evenly, whatever they hold; version 2 is that one rebalanced by the bytes
     per slot, and decides. The law is ``bytes``: shards have nearly the same sum of size (UTF-8 bytes
-    plus 8), as far as no single row is larger than a shard. Null and empty texts have size 8; rows
+    plus 8), to within the largest row's where slots differ finely enough, as far as no single row is larger than a shard. Null and empty texts have size 8; rows
     without doc_id, and repeated rows, are rows of their own; equal rows of a shard are numbered in any
     order. An empty table gives no rows. Columns of ``docs`` besides doc_id and text are not read.
     """
@@ -165,6 +178,7 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 24, slots: int = S
     sizes = materialise(slot_sizes(rows), f"{path}/slots")
     maps = SlotMap(docs.sparkSession, path)
     maps.write(1, {s: s % shards for s in range(slots)}, {})
-    return placed(rows, maps.rebalance(1, sizes, shards)).select(
+    largest = sizes.agg(F.max("largest")).first()[0]
+    return placed(rows, maps.rebalance(1, sizes, shards, largest)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
