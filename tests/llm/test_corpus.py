@@ -553,6 +553,42 @@ def test_topics(spark):
     assert {r.topic for r in mixing.described(given, fitted).collect()} == {"mine"}
 
 
+def test_topics_of_all_documents(spark):
+    """The fit written out with dense arrays over more documents than a sample would hold; the order of rows is nothing to it."""
+    rng = np.random.default_rng(12)
+    # a thousand documents of one word each after many of other words: all count
+    texts = [" ".join(f"word{j}" for j in rng.integers(0, 300, 12)) for _ in range(4000)] + [f"single{i % 2}" for i in range(1000)] + ["", "of a", None]
+    langs = [["aa", "bb", None][int(x)] for x in rng.integers(0, 3, len(texts))]
+    langs[:2] = ["odd1", "odd2"]  # under a thousandth: one mean together
+    df = spark.createDataFrame([(i, la, t) for i, (la, t) in enumerate(zip(langs, texts))], "doc_id long, lang string, text string")
+    fitted = mixing.fit_topics(df, topics=4)
+    other = mixing.fit_topics(df.orderBy(F.desc("doc_id")).repartition(7), topics=4)
+    assert (fitted.weight == other.weight).all() and set(fitted.usual) == {"aa", "bb", ""}
+
+    table, own = np.zeros((5000, mixing.TOPIC_WORDS)), [la if la in ("aa", "bb") else "rest" if la else "" for la in langs[:5000]]
+    for i, t in enumerate(texts[:5000]):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for h in Words(raw, np.array([0, len(raw)])).hashes():
+            table[i, int(h % np.uint64(mixing.TOPIC_WORDS))] += 1
+    table /= table.sum(1, keepdims=True)
+    rare = np.log(5001 / (1 + (table > 0).sum(0)))
+    table *= rare
+    mean = {la: table[[x == la for x in own]].mean(0) for la in set(own)}
+    table -= np.stack([mean[la] for la in own])
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    centers = np.divide(fitted.weight, rare[:, None], out=np.zeros_like(fitted.weight), where=rare[:, None] > 0).T
+    assert np.linalg.norm(centers, axis=1) == pytest.approx(np.ones(4), abs=1e-6)
+    got = {r.doc_id: int(r.topic) for r in mixing.described(df, fitted).collect()}
+    near = table @ centers.T
+    assert all(near[i, got[i]] >= near[i].max() - 1e-6 for i in range(5000))
+    for k in range(4):  # near a mean direction of what is nearest to it: of all documents, not of some
+        again = table[[got[i] == k for i in range(5000)]].sum(0)
+        assert again @ centers[k] > 0.97 * np.linalg.norm(again)
+    for la in ("aa", "bb", ""):
+        assert fitted.usual[la] == pytest.approx(mean[la] @ centers.T, abs=1e-6)
+    assert fitted.rest == pytest.approx(mean["rest"] @ centers.T, abs=1e-6)
+
+
 def test_raking():
     rng = np.random.default_rng(2)
     tokens = {(s, la, t): float(rng.integers(1, 100)) for s in "ab" for la in "xyz" for t in "12"}

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Topics are clusters of a bounded sample's word profiles, each taken relative to its language's mean;
+Topics are clusters of the word profiles of all documents, each taken relative to its language's mean;
 every document has the topic nearest to its own profile. Tokens are summed per cell of (source, language, topic). Raking scales the cells' weights in turn
 until the weighted tokens meet the target share of every source, every language and every topic.
 Documents are then sampled with probabilities proportional to their cell's weight, calibrated so
@@ -11,6 +11,7 @@ exceed one, the margins are raked again with those held at one.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Words, arrow_batch, materialise, text_chunks, text_key, workspace
+from .common import Words, arrow_batch, materialise, mix, signed, text_chunks, text_key, workspace
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
-#: Documents, about, that topics are fitted on, and hashed words that a profile has.
-TOPIC_SAMPLE, TOPIC_WORDS, TOPIC_TURNS = 2000, 1 << 13, 15
+#: Hashed words that a profile has, and turns of k-means at most.
+TOPIC_WORDS, TOPIC_TURNS = 1 << 13, 15
+#: Languages with under this share of the documents have one mean profile together.
+OWN_MEAN = 0.001
+#: Sums over documents are of whole numbers, so that no order of adding changes them: shares and directions times this.
+SHARE_UNIT, UNIT = 1 << 32, 1 << 24
 #: Targets where none are given: the shares found, to this power, as shares again.
 TEMPERATURE = 0.7
 #: Expected tokens of the sample as a share of all.
@@ -37,8 +42,12 @@ ROUNDS, TOLERANCE = 200, 1e-9
 MAX_CELLS = 500_000
 OTHER = ""
 
-PROFILE_SCHEMA = "lang string, words array<int>, shares array<float>"
-_PROFILE_ARROW = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
+# Profiles of many texts are one row, which holds their entries as arrays: how many each text has, then of each its word and value.
+PROFILE_SCHEMA = "langs array<string>, counts binary, words binary, shares binary"
+DIRECTION_SCHEMA = "least long, langs binary, less binary, counts binary, words binary, parts binary"
+_PROFILE_ARROW = pa.schema([("langs", pa.list_(pa.string())), *((x, pa.binary()) for x in ("counts", "words", "shares"))])
+_DIRECTION_ARROW = pa.schema([("least", pa.int64()), *((x, pa.binary()) for x in ("langs", "less", "counts", "words", "parts"))])
+_SUMS_ARROW = pa.schema([("key", pa.string()), ("sums", pa.binary())])
 
 
 def _profile_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -48,77 +57,243 @@ def _profile_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shares of the hashed words in each text: a bounded number, however long the text."""
+    """The shares of the hashed words in each text that has any: a bounded number, however long the text."""
     for batch in batches:
-        words_of, shares_of = [], []
         for row, stop, words in text_chunks(batch.column(1), lower=True):
             bucket, text = _profile_words(words)
-            for r in range(stop - row):
-                found, times = np.unique(bucket[text == r], return_counts=True)
-                words_of.append(found.astype(np.int32))
-                shares_of.append((times / max(1, times.sum())).astype(np.float32))
-        yield arrow_batch(_PROFILE_ARROW, [batch.column(0), words_of, shares_of])
+            found, times = np.unique(text * TOPIC_WORDS + bucket, return_counts=True)
+            of = found // TOPIC_WORDS
+            n, counts = np.bincount(text, minlength=stop - row), np.bincount(of, minlength=stop - row)
+            if len(found):
+                langs = batch.column(0).slice(row, stop - row).filter(pa.array(n > 0)).to_pylist()
+                shares = (times / n[of]).astype(np.float32)
+                parts = counts[n > 0].astype(np.int32), (found % TOPIC_WORDS).astype(np.uint16), shares
+                yield arrow_batch(_PROFILE_ARROW, [[langs], *([x.tobytes()] for x in parts)])
 
 
 @dataclass
 class Topics:
-    """weight of each hashed word for each topic, and per language what the mean profile gets."""
+    """weight of each hashed word for each topic, and per language what the mean profile gets; rest: languages without their own."""
 
     weight: np.ndarray
     usual: dict[str, np.ndarray]
+    rest: np.ndarray
 
     def of(self, words: Words, langs: list[str]) -> np.ndarray:
         """The topic of each text: the highest score, the lowest of equal ones; 0 without words."""
         bucket, text = _profile_words(words)
         n = np.bincount(text, minlength=len(langs))
-        score = np.stack([np.bincount(text, w[bucket], len(langs)) for w in self.weight.T], 1) / np.maximum(n, 1)[:, None]
-        none = np.zeros(self.weight.shape[1])
-        score -= np.array([self.usual.get(lang, none) for lang in langs]).reshape(score.shape)
+        score = np.stack([np.bincount(text, w[bucket], len(langs)) for w in np.ascontiguousarray(self.weight.T)], 1) / np.maximum(n, 1)[:, None]
+        score -= np.array([self.usual.get(lang, self.rest) for lang in langs]).reshape(score.shape)
         return np.where(n > 0, score.argmax(1), 0)
 
 
-def clustered(profiles: list[tuple[str, np.ndarray, np.ndarray]], topics: int, seed: int = SEED) -> Topics:
-    """Spherical k-means over profiles, weighted by how few of them have a word, less their language's mean."""
-    table = np.zeros((len(profiles), TOPIC_WORDS), np.float32)
-    for i, (_, found, shares) in enumerate(profiles):
-        table[i, found] = shares
-    rare = np.log((1 + len(profiles)) / (1 + (table > 0).sum(0))).astype(np.float32)
-    table *= rare
-    langs = sorted({lang for lang, _, _ in profiles})
-    code = np.array([langs.index(lang) for lang, _, _ in profiles], np.int64) if profiles else np.zeros(0, np.int64)
-    means = np.stack([table[code == i].mean(0) for i in range(len(langs))]) if langs else np.zeros((0, TOPIC_WORDS), np.float32)
-    table -= means[code]
-    length = np.linalg.norm(table, axis=1, keepdims=True)
-    table = np.divide(table, length, out=table, where=length > 0)
-    centers = np.zeros((topics, TOPIC_WORDS), np.float32)
-    if len(table):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        centers[0] = table[rng.integers(len(table))]
-        nearest = table @ centers[0]
-        for k in range(1, topics):  # the profile farthest from all centers so far
-            centers[k] = table[nearest.argmin()]
-            nearest = np.maximum(nearest, table @ centers[k])
+@dataclass
+class _Space:
+    """Where profiles are compared: shares times how rare a word is, less the mean of the language.
+
+    mean: a row per language of ``code``, the last for all others; unit and size: these as directions and lengths.
+    """
+
+    rare: np.ndarray
+    code: dict[str, int]
+    mean: np.ndarray
+
+    def __post_init__(self):
+        self.size = np.sqrt((self.mean**2).sum(1))
+        self.unit = np.divide(self.mean, self.size[:, None], out=np.zeros_like(self.mean), where=self.size[:, None] > 0)
+
+
+@dataclass
+class _Directions:
+    """Of each text its language, where its entries begin, and how much of its language's mean is taken off; of each entry word and part."""
+
+    lang: np.ndarray
+    less: np.ndarray
+    first: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    parts: np.ndarray
+
+    def near(self, centers: np.ndarray, usual: np.ndarray) -> np.ndarray:
+        """The products with centers; usual: those of the languages' mean directions."""
+        return np.stack([np.add.reduceat(c[self.words] * self.parts, self.first) for c in centers], 1) - self.less[:, None] * usual[self.lang]
+
+
+def _content(first: np.ndarray, words: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the entries of each text."""
+    return signed(np.add.reduceat(mix(mix(words.astype(np.uint64) ^ np.uint64(seed)) ^ parts.view(np.uint32)), first))
+
+
+def _begins(counts: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(counts)[:-1]).astype(np.int64)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], *kinds) -> Iterator[tuple]:
+    """The rows of batches, with binary columns as arrays of these kinds (None: as they are)."""
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield tuple(x if kind is None else np.frombuffer(x, kind) for x, kind in zip(row, kinds))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Directions]:
+    for _, lang, less, counts, words, parts in _arrays(batches, None, np.int32, np.float64, np.int32, np.uint16, np.float32):
+        yield _Directions(lang, less, _begins(counts), counts, words.astype(np.int64), parts)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of whole numbers with the same key."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            new = np.frombuffer(raw, np.int64)
+            total[key] = total[key] + new if key in total else new
+    yield arrow_batch(_SUMS_ARROW, [list(total), [x.tobytes() for x in total.values()]])
+
+
+def _summed(profiles: DataFrame, sums) -> dict[str, np.ndarray]:
+    """What ``sums`` gives per partition, added in two steps: the driver gets about as many parts as the root of their number."""
+    parts = profiles.mapInArrow(sums, "key string, sums binary")
+    middle = max(2, math.isqrt(parts.rdd.getNumPartitions()))
+    out: dict[str, np.ndarray] = {}
+    for key, raw in parts.repartition(middle).mapInArrow(_added, "key string, sums binary").collect():
+        out[key] = out.get(key, 0) + np.frombuffer(raw, np.int64)
+    return out
+
+
+def _space(profiles: DataFrame) -> _Space:
+    """Counts and mean shares over all profiles."""
+    rows = profiles.select(F.explode("langs").alias("lang")).groupBy("lang").count()
+    total = rows.agg(F.sum("count")).first()[0] or 0
+    own = {r.lang: i for i, r in enumerate(rows.filter(F.col("count") >= OWN_MEAN * total).orderBy("lang").collect())}  # 1000 at most
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, have = np.zeros(len(own) + 1, np.int64), np.zeros(TOPIC_WORDS, np.int64)
+        by: dict[int, np.ndarray] = {}
+        for langs, counts, words, shares in _arrays(batches, None, np.int32, np.uint16, np.float32):
+            lang = np.array([own.get(x, len(own)) for x in langs], np.int64)
+            of, whole = np.repeat(lang, counts), np.rint(shares.astype(np.float64) * SHARE_UNIT)
+            n += np.bincount(lang, minlength=len(n))
+            have += np.bincount(words, minlength=TOPIC_WORDS)
+            for i in np.unique(lang).tolist():  # whole numbers below 2^53: exact
+                by[i] = by.get(i, 0) + np.bincount(words[of == i], whole[of == i], TOPIC_WORDS).astype(np.int64)
+        yield arrow_batch(_SUMS_ARROW, [["n", "have", *map(str, by)], [x.tobytes() for x in (n, have, *by.values())]])
+
+    got = _summed(profiles, sums)
+    n, have = got.get("n", np.zeros(len(own) + 1)), got.get("have", np.zeros(TOPIC_WORDS))
+    rare = np.log((1 + total) / (1 + have))
+    mean = np.stack([rare * got.get(str(i), np.zeros(TOPIC_WORDS)) / (SHARE_UNIT * max(1, n[i])) for i in range(len(own) + 1)])
+    return _Space(rare, own, mean)
+
+
+def _directions(profiles: DataFrame, space: _Space, seed: int) -> DataFrame:
+    """The profiles less the means, with length one; without those that are their mean, but for a thousandth. least: of their hashes."""
+    shared = profiles.sparkSession.sparkContext.broadcast(space)
+
+    def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, counts, words, shares in _arrays(batches, None, np.int32, np.uint16, np.float32):
+            space = shared.value
+            lang = np.array([space.code.get(x, len(space.mean) - 1) for x in langs], np.int64)
+            first, size, x = _begins(counts), space.size[lang], shares * space.rare[words]
+            own = np.add.reduceat(x * x, first)
+            square = own - 2 * np.add.reduceat(x * space.mean[np.repeat(lang, counts), words], first) + size**2
+            clear = square > 1e-6 * (own + size**2)
+            length, held = np.sqrt(np.where(clear, square, 1)), np.repeat(clear, counts)
+            if clear.any():
+                parts = (x / np.repeat(length, counts))[held].astype(np.float32)
+                out = lang[clear].astype(np.int32), (size / length)[clear], counts[clear], words[held], parts
+                least = _content(_begins(counts[clear]), words[held], parts, seed).min()
+                yield arrow_batch(_DIRECTION_ARROW, [[int(least)], *([c.tobytes()] for c in out)])
+
+    return profiles.mapInArrow(directed, DIRECTION_SCHEMA)
+
+
+_ONE_ARROW = pa.schema([("near", pa.float64()), ("content", pa.int64()), ("lang", pa.int32()), ("less", pa.float64()), ("words", pa.list_(pa.int32())), ("parts", pa.list_(pa.float32()))])
+
+
+def _one(batches: Iterator[pa.RecordBatch], centers: np.ndarray, usual: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+    """The direction that is least near to all centers, of several the one with the least hash."""
+    best = None
+    for d in _read(batches):
+        near = d.near(centers, usual).max(1)
+        if best is None or near.min() <= best[0]:
+            even = np.flatnonzero(near == near.min())
+            content = _content(d.first, d.words, d.parts, seed)[even]
+            i = int(even[content.argmin()])
+            if best is None or (near[i], content.min()) < best[:2]:
+                entries = slice(int(d.first[i]), int(d.first[i] + d.counts[i]))
+                best = float(near[i]), int(content.min()), int(d.lang[i]), float(d.less[i]), d.words[entries].tolist(), d.parts[entries].tolist()
+    if best:
+        yield arrow_batch(_ONE_ARROW, [[x] for x in best])
+
+
+def _farthest(directions: DataFrame, space: _Space, centers: np.ndarray, seed: int) -> np.ndarray | None:
+    """The direction farthest from all centers; None if there is none."""
+    shared = directions.sparkSession.sparkContext.broadcast((centers, space.unit @ centers.T))
+    found = directions.mapInArrow(lambda it: _one(it, *shared.value, seed), "near double, content long, lang int, less double, words array<int>, parts array<float>").orderBy("near", "content", "lang").first()
+    shared.destroy()
+    if not found:
+        return None
+    x = -found.less * space.unit[found.lang]
+    x[found.words] += np.array(found.parts)
+    return x / np.linalg.norm(x)
+
+
+def _turn(directions: DataFrame, space: _Space, centers: np.ndarray) -> dict[str, np.ndarray]:
+    """Per center the sum of the directions nearest to it: of profiles, and of the means to be taken off."""
+    shared = directions.sparkSession.sparkContext.broadcast((centers, space.unit @ centers.T))
+    k, langs = len(centers), len(space.mean)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, less = np.zeros(k * TOPIC_WORDS, np.int64), np.zeros(k * langs, np.int64)
+        for d in _read(batches):
+            own = d.near(*shared.value).argmax(1)
+            to += np.bincount(np.repeat(own * TOPIC_WORDS, d.counts) + d.words, np.rint(d.parts * np.float64(UNIT)), len(to)).astype(np.int64)
+            less += np.bincount(own * langs + d.lang, np.rint(d.less * UNIT), len(less)).astype(np.int64)
+        yield arrow_batch(_SUMS_ARROW, [["to", "less"], [to.tobytes(), less.tobytes()]])
+
+    got = _summed(directions, sums)
+    shared.destroy()
+    return got
+
+
+def clustered(profiles: DataFrame, path: str, topics: int, seed: int = SEED) -> Topics:
+    """Spherical k-means over profiles, weighted by how few of them have a word, less their language's mean.
+
+    Every pass reads all profiles, whose directions are written below ``path``. The first center is the one
+    with the least hash, each next one the farthest from those before; then centers become the mean direction
+    of what is nearest to them.
+    """
+    space, centers = _space(profiles), np.zeros((topics, TOPIC_WORDS))
+    directions = materialise(_directions(profiles, space, seed), f"{path}/directions")
+    least = directions.agg(F.min("least")).first()[0]  # one column; the next line reads the texts beside it alone
+    first = None if least is None else _farthest(directions.filter(F.col("least") == least), space, centers[:1], seed)
+    if first is not None:
+        centers[0] = first
+        for k in range(1, topics):
+            centers[k] = _farthest(directions, space, centers[:k], seed)
+        before: dict[str, np.ndarray] = {}
         for _ in range(TOPIC_TURNS):
-            own = (table @ centers.T).argmax(1)
-            for k in range(topics):
-                if (own == k).any():
-                    mean = table[own == k].sum(0)
-                    centers[k] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    return Topics((centers * rare).T.astype(np.float64), dict(zip(langs, (means @ centers.T).astype(np.float64))))
+            got = _turn(directions, space, centers)
+            if before and all((got[x] == before[x]).all() for x in got):
+                break
+            before = got
+            mean = got["to"].reshape(topics, -1) - got["less"].reshape(topics, -1) @ space.unit
+            length = np.linalg.norm(mean, axis=1, keepdims=True)
+            centers = np.where(length > 0.5, mean / np.maximum(length, 0.5), centers)
+    usual = space.mean @ centers.T
+    return Topics((centers * space.rare).T.copy(), {lang: usual[i] for lang, i in space.code.items()}, usual[-1])
 
 
 def _category(name: str, have: set[str]) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(OTHER)) if name in have else F.lit(OTHER)
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE, seed: int = SEED) -> Topics:
-    """Topics of about ``sample`` documents, those with the least hash of doc_id and text; never over twice as many."""
-    share = sample / max(1, docs.count())
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_key(F.col("text"))), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    rows = docs.filter(F.col("text").isNotNull() & (key < share)).select(_category("lang", set(docs.columns)).alias("lang"), "text").limit(2 * sample)
-    found = rows.mapInArrow(_profiles, PROFILE_SCHEMA).collect()
-    found = sorted((r.lang, r.words, r.shares) for r in found)
-    return clustered([(lang, np.array(w, np.int64), np.array(x, np.float32)) for lang, w, x in found], topics)
+def fit_topics(docs: DataFrame, topics: int = TOPICS, seed: int = SEED) -> Topics:
+    """Topics of all documents; those without a word of five bytes have no say. Whatever the order of rows, the same."""
+    path = workspace(docs.sparkSession, "topics")
+    rows = docs.filter(F.col("text").isNotNull()).select(_category("lang", set(docs.columns)).alias("lang"), "text")
+    return clustered(materialise(rows.mapInArrow(_profiles, PROFILE_SCHEMA), f"{path}/profiles"), path, topics, seed)
 
 
 def _fields(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
